@@ -87,8 +87,7 @@ def plan(rows: DataFrame, **rule) -> DataFrame:
     inside, rest = rows, goal.filter("budget > 0").select("source", "budget")
     for level in range(_DIGITS):
         inside = inside.withColumn("digit", _digit(level))
-        sums = inside.join(rest.select(F.col("source").alias("s")), F.col("source").eqNullSafe(F.col("s")), "left_semi")
-        sums = sums.groupBy("source", "digit").agg(F.sum("size").alias("words"))
+        sums = inside.groupBy("source", "digit").agg(F.sum("size").alias("words"))
         running = Window.partitionBy("source").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
         sums = sums.withColumn("until", F.sum("words").over(running))
         sums = sums.select(F.col("source").alias("s"), "digit", "words", "until").join(rest, F.col("s").eqNullSafe(F.col("source"))).drop("s")
