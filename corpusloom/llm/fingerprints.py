@@ -1,6 +1,6 @@
 """Document fingerprints: a Merkle tree over paragraphs and sections.
 
-Leaves are paragraphs: the lines of a text, long ones cut every 32 code points.
+Leaves are paragraphs: the lines of a text, long ones cut every 40 code points.
 Eight paragraphs make a section. A section's digest is taken over its
 paragraphs' digests, the root's over the sections'. The fingerprint is a string
 
@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_key
+from .shared import materialize, row_columns
 
-PARAGRAPH, SECTION, WIDTH = 32, 8, 8
+PARAGRAPH, SECTION, WIDTH = 40, 8, 8
 
 
 def paragraphs(text: Column) -> Column:
@@ -62,22 +62,23 @@ def differing(a: Column, b: Column, level: str = "paragraphs") -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """Each distinct (doc_id, key) of ``ids`` with its follower's: next_id, next_key.
+    """Each distinct (doc_id, at, key) of ``ids`` with n_chars, copies and its follower's next_at, next_key.
 
     Ranges of the order are laid out first; a window then runs in each range,
     and only the first row of each range meets the others' (one row a range).
     """
     order = ["doc_id", "key"]
-    spread = ids.groupBy(*order).agg(F.max("n_chars").alias("n_chars"))
+    spread = ids.groupBy("doc_id", "at", "key").agg(F.max("n_chars").alias("n_chars"), F.count("*").alias("copies"))
     n = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = materialize(spread.repartitionByRange(n, *order).withColumn("range", F.spark_partition_id()), "ranges")
-    head = spread.groupBy("range").agg(F.min_by(F.struct(*order), F.struct(F.col("doc_id").isNotNull(), *order)).alias("first"))
+    head = spread.groupBy("range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "at", "key")).alias("first"))
+    head = head.select("range", F.struct("first.at", "first.key").alias("first"))
     whole = Window.orderBy("range")
     head = head.select("range", F.coalesce(F.lead("first").over(whole), F.first("first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "key")
-    rows = spread.withColumn("next", F.lead(F.struct(*order)).over(inside))
-    rows = rows.join(head, "range").select(*order, "n_chars", F.coalesce("next", "after").alias("next"))
-    return rows.select(*order, "n_chars", F.col("next.doc_id").alias("next_id"), F.col("next.key").alias("next_key"))
+    rows = spread.withColumn("next", F.lead(F.struct("at", "key")).over(inside))
+    rows = rows.join(head, "range").withColumn("next", F.coalesce("next", "after"))
+    return rows.select("at", "key", "n_chars", "copies", F.col("next.at").alias("next_at"), F.col("next.key").alias("next_key"))
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -88,19 +89,18 @@ def edits(docs: DataFrame) -> DataFrame:
     near_next. Null text counts as empty; null ids come first in the order;
     rows that repeat an id are ordered by their text's hash, and rows equal in
     both have one follower; an empty table gives an empty result. Whole texts
-    move once, a follower's beginning once more.
+    move once (both joins read one exchange), a follower's beginning once more.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.select("doc_id", "text", text_key(F.col("text")).alias("key"))
-    after = materialize(successors(texts.select("doc_id", "key", F.length("text").alias("n_chars"))), "successors")
-    full = texts.select("doc_id", "key", "text", fingerprint(F.col("text")).alias("fingerprint"))
-    asks = after.select(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key"), "next_id", "next_key", F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
-    givers = full.dropDuplicates(["doc_id", "key"])
-    gifts = givers.join(asks, F.col("doc_id").eqNullSafe(F.col("next_id")) & (F.col("key") == F.col("next_key")))
-    gifts = gifts.select("of_id", "of_key", F.left("text", F.col("wanted")).alias("gift"), F.col("fingerprint").alias("next_fingerprint"))
-    rows = full.join(gifts, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")))
+    texts = row_columns(docs)
+    after = materialize(successors(texts.select("doc_id", "at", "key", F.length("text").alias("n_chars"))), "successors")
+    asks = after.select(F.col("at").alias("of_at"), F.col("key").alias("of_key"), F.col("next_at").alias("at"), F.col("next_key").alias("key"), F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
+    gifts = texts.join(asks.hint("merge"), ["at", "key"])
+    gifts = gifts.select(F.col("of_at").alias("at"), F.col("of_key").alias("key"), F.left("text", F.col("wanted")).alias("gift"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    if not after.filter("copies > 1").isEmpty():  # else a repeated row would give twice
+        gifts = gifts.dropDuplicates(["at", "key"])
+    rows = texts.join(gifts.hint("merge"), ["at", "key"])
     n = F.length("text")
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", (n - F.floor(n / 4)).cast("int")), "gift").alias("edited"), "fingerprint", "next_fingerprint")
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", (n - F.floor(n / 4)).cast("int")), "gift").alias("edited"), fingerprint(F.col("text")).alias("fingerprint"), "next_fingerprint")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",

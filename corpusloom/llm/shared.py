@@ -75,6 +75,17 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
+def row_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, at, key and text of each row; (at, key) never is null and tells rows apart.
+
+    ``at`` is the id (0 for null), ``key`` hashes the text and whether the id is
+    null. Plain equality on the two serves joins, so that they can share one
+    exchange of the texts.
+    """
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).cast("long").alias("at"), F.xxhash64(text, F.col("doc_id").isNull()).alias("key"), text.alias("text"))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null ids fall in no fold."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
