@@ -78,7 +78,7 @@ def successors(ids: DataFrame) -> DataFrame:
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "key")
     rows = spread.withColumn("next", F.lead(F.struct("at", "key")).over(inside))
     rows = rows.join(head, "range").withColumn("next", F.coalesce("next", "after"))
-    return rows.select("at", "key", "n_chars", "copies", F.col("next.at").alias("next_at"), F.col("next.key").alias("next_key"))
+    return rows.select("doc_id", "at", "key", "n_chars", "copies", F.col("next.at").alias("next_at"), F.col("next.key").alias("next_key"))
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -93,12 +93,12 @@ def edits(docs: DataFrame) -> DataFrame:
     """
     texts = row_columns(docs)
     after = materialize(successors(texts.select("doc_id", "at", "key", F.length("text").alias("n_chars"))), "successors")
-    asks = after.select(F.col("at").alias("of_at"), F.col("key").alias("of_key"), F.col("next_at").alias("at"), F.col("next_key").alias("key"), F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
+    asks = after.select(F.col("doc_id").alias("of_id"), F.col("at").alias("of_at"), F.col("key").alias("of_key"), F.col("next_at").alias("at"), F.col("next_key").alias("key"), F.floor(F.col("n_chars") / 4).cast("int").alias("wanted"))
     gifts = texts.join(asks.hint("merge"), ["at", "key"])
-    gifts = gifts.select(F.col("of_at").alias("at"), F.col("of_key").alias("key"), F.left("text", F.col("wanted")).alias("gift"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    gifts = gifts.select(F.col("of_id").alias("doc_id"), F.col("of_at").alias("at"), F.col("of_key").alias("key"), F.left("text", F.col("wanted")).alias("gift"), fingerprint(F.col("text")).alias("next_fingerprint"))
     if not after.filter("copies > 1").isEmpty():  # else a repeated row would give twice
         gifts = gifts.dropDuplicates(["at", "key"])
-    rows = texts.join(gifts.hint("merge"), ["at", "key"])
+    rows = texts.drop("doc_id").join(gifts.hint("merge"), ["at", "key"])
     n = F.length("text")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.concat(F.left("text", (n - F.floor(n / 4)).cast("int")), "gift").alias("edited"), fingerprint(F.col("text")).alias("fingerprint"), "next_fingerprint")
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_fingerprint")

@@ -317,7 +317,7 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     texts = row_columns(docs)
     buckets = max(8, 2 * parts(docs))
-    copies = texts.groupBy("at", "key").agg(F.count("*").alias("copies"))
+    copies = texts.groupBy("at", "key").agg(F.count("*").alias("copies"), F.max("doc_id").alias("doc_id"))
     sent = texts.select("at", "key", "text").mapInArrow(_publisher(buckets, width), _SENT).repartition(buckets, "bucket")
     found = materialize(sent.mapInArrow(_resolve, _FOUND), "runs")
     asked = found.filter("common <> 0").groupBy("at", "key").agg(F.collect_list(F.struct("common", "off", "known", "start", "count")).alias("asked"))
@@ -328,6 +328,6 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     ranges = found.filter("known").select("at", "key", "start", "count").unionByName(sorted_)
     listed = ranges.groupBy("at", "key").agg(F.array_sort(F.collect_set(F.struct("start", "count"))).alias("found"))
     side = copies.join(listed, ["at", "key"], "left")
-    rows = texts.join(side.hint("merge"), ["at", "key"])
+    rows = texts.drop("doc_id").join(side.hint("merge"), ["at", "key"])
     made = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
     return rows.select("doc_id", "text", "copies", "found").mapInArrow(_remover(width), made)
