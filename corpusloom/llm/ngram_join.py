@@ -58,80 +58,75 @@ def _test(n: Column) -> Column:
     return F.floor((_needed(n) + 9) / 10)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, key, n, sid and the published prefix of each text."""
-    for batch in batches:
-        texts = texts_of(batch)
-        for part in in_chunks([len(t) for t in texts], _CHUNK):
-            sets = shingle_sets(texts[part], WORDS)
-            n = [len(s) for s in sets]
-            sids = [set_id(s) if len(s) else None for s in sets]
-            head = [s[: len(s) - needed(len(s)) + spare(len(s))].tobytes() if len(s) else b"" for s in sets]
-            rows = batch.slice(part.start, part.stop - part.start)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id").cast(pa.int64()), rows.column("key"), pa.array(n, pa.int64()), pa.array(sids, pa.int64()), pa.array(head, pa.binary())], ["doc_id", "key", "n", "sid", "head"])
-
-
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, n and the whole set of each text."""
-    for batch in batches:
-        texts = texts_of(batch)
-        for part in in_chunks([len(t) for t in texts], _CHUNK):
-            sets = shingle_sets(texts[part], WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "whole"])
+_SENT = "bucket int, hashes binary, owners binary, counts binary, ids array<long>, keys array<long>, ns array<long>, sids array<long>"
+_SENT_TYPES = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 4]
+_RESOLVED = "doc_id long, key long, n long, sid long, shared long"
 
 
-_COUNTS = "bucket int, hashes binary, owners binary, counts binary"
+def published(n: int) -> int:
+    return n - needed(n) + spare(n)
 
 
 def _publisher(buckets: int):
-    """Published hashes by bucket. Within a chunk each hash travels once: hashes that several of
-    its sets hold are counted here and sent as a mark (owner 0)."""
+    """The texts' sets as one line each, and their published hashes by bucket. Within a chunk a
+    hash travels once: those that several of its sets hold are counted here and sent as a mark (owner 0)."""
+    names = [x.split()[0] for x in _SENT.split(", ")]
 
-    def flush(sids: list[int], heads: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        owner = np.repeat(np.array(sids, np.int64), [len(h) for h in heads])
+    def send(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 64], strict=True), _SENT_TYPES, strict=True)], names)
+
+    def flush(held: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        heads = list(held.values())
+        owner = np.repeat(np.array(list(held), np.int64), [len(h) for h in heads])
         hashes = np.concatenate(heads)
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
-        first = np.concatenate([[True], hashes[1:] != hashes[:-1]])
-        start = np.flatnonzero(first)
-        many = np.diff(np.append(start, len(hashes))) > 1
-        shared = owner[np.repeat(many, np.diff(np.append(start, len(hashes))))]
-        who, count = np.unique(shared, return_counts=True)
-        sent, by = hashes[start], np.where(many, 0, owner[start])
+        start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        length = np.diff(np.append(start, len(hashes)))
+        who, count = np.unique(owner[np.repeat(length > 1, length)], return_counts=True)
+        sent, by = hashes[start], np.where(length > 1, 0, owner[start])
         bucket = (mix(sent) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         sent, by, bucket = sent[order], by[order], bucket[order]
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        rows = [(int(bucket[a]), sent[a:b].tobytes(), by[a:b].tobytes(), b"") for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+        rows = [(int(bucket[a]), sent[a:b].tobytes(), by[a:b].tobytes(), None, None, None, None, None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         if len(who):
-            rows.append((int(who[0]) % buckets, b"", who.tobytes(), count.astype(np.int64).tobytes()))
-        cols = list(zip(*rows, strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["bucket", "hashes", "owners", "counts"])
+            rows.append((int(who[0]) % buckets, None, who.tobytes(), count.astype(np.int64).tobytes(), None, None, None, None))
+        yield from send(rows)
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
-        size = 0
+        size = turn = 0
         for batch in batches:
-            for sid, head in zip(batch.column("sid").to_pylist(), batch.column("head").to_pylist(), strict=True):
-                if sid is None or sid in held:
-                    continue
-                held[sid] = np.frombuffer(head, np.uint64)
-                size += len(held[sid])
+            texts, ids, keys = texts_of(batch), batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
+            for part in in_chunks([len(t) for t in texts], _CHUNK):
+                sets = shingle_sets(texts[part], WORDS)
+                sids = [set_id(s) if len(s) else None for s in sets]
+                turn += 1
+                yield from send([(turn % buckets, None, None, None, ids[part], keys[part], [len(s) for s in sets], sids)])
+                for sid, s in zip(sids, sets, strict=True):
+                    if sid is not None and sid not in held:
+                        held[sid] = s[: published(len(s))].copy()
+                        size += len(held[sid])
                 if size >= _PUBLISH:
-                    yield from flush(list(held), list(held.values()))
+                    yield from flush(held)
                     held, size = {}, 0
         if size:
-            yield from flush(list(held), list(held.values()))
+            yield from flush(held)
 
     return publish
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the buckets in this partition: how many hashes each set shares with another set."""
+    """The lines of texts as they came; and how many hashes of this partition's buckets each set shares with another set."""
     hashes, owners, who, counts = [], [], [], []
+    names = [x.split()[0] for x in _RESOLVED.split(", ")]
     for batch in batches:
-        for h, o, c in zip(batch.column("hashes").to_pylist(), batch.column("owners").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-            if c:
+        for h, o, c, *lines in zip(*(batch.column(x).to_pylist() for x in ("hashes", "owners", "counts", "ids", "keys", "ns", "sids")), strict=True):
+            if lines[0] is not None:
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in lines], pa.nulls(len(lines[0]), pa.int64())], names)
+            elif c is not None:
                 who.append(np.frombuffer(o, np.int64))
                 counts.append(np.frombuffer(c, np.int64))
             else:
@@ -146,26 +141,34 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         length = np.diff(np.append(start, len(h)))
         found = o[np.repeat(length > 1, length) & (o != 0)]
-        if len(found):
-            a, b = np.unique(found, return_counts=True)
-            who.append(a)
-            counts.append(b)
+        a, b = np.unique(found, return_counts=True)
+        who.append(a)
+        counts.append(b)
     if who:
         a, at = np.unique(np.concatenate(who), return_inverse=True)
         total = np.bincount(at, np.concatenate(counts).astype(float)).astype(np.int64)
         for i in range(0, len(a), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(total[i : i + 50_000])], ["sid", "shared"])
+            x, none = a[i : i + 50_000], pa.nulls(len(a[i : i + 50_000]), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(x), pa.array(total[i : i + 50_000])], names)
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """sid, n and the whole set of each text."""
+    for batch in batches:
+        texts = texts_of(batch)
+        for part in in_chunks([len(t) for t in texts], _CHUNK):
+            sets = shingle_sets(texts[part], WORDS)
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "whole"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Published shingles as rows."""
     for batch in batches:
-        heads = [np.frombuffer(x, np.int64) for x in batch.column("head").to_pylist()]
+        heads = [np.frombuffer(x, np.int64)[: published(n)] for x, n in zip(batch.column("whole").to_pylist(), batch.column("n").to_pylist(), strict=True)]
         sid = np.repeat(np.array(batch.column("sid").to_pylist(), np.int64), [len(h) for h in heads])
-        need = np.repeat(np.array(batch.column("need").to_pylist(), np.int64), [len(h) for h in heads])
         h = np.concatenate([*heads, np.zeros(0, np.int64)])
         for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (h, sid, need)], ["h", "sid", "need"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (h, sid)], ["h", "sid"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,142 +183,130 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
-def survivors(rows: DataFrame, buckets: int) -> DataFrame:
-    """Vertices that may have a partner: sid, n, doc_id, key of one of their documents."""
-    sent = rows.select("sid", "head").mapInArrow(_publisher(buckets), _COUNTS)
-    shared = sent.repartition(buckets, "bucket").mapInArrow(_resolve, "sid long, shared long").groupBy("sid").agg(F.sum("shared").alias("shared"))
-    vertex = rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("of"))
-    found = vertex.join(shared, "sid").filter(F.col("shared") >= _test(F.col("n")))
-    return found.select("sid", "n", F.col("of.doc_id").alias("doc_id"), F.col("of.key").alias("key"))
-
-
-def _pick(table: DataFrame, chosen: DataFrame, small: bool) -> DataFrame:
-    """Rows of ``table`` whose (doc_id, key) is in ``chosen``, with chosen's other columns."""
-    side = chosen.withColumnsRenamed({"doc_id": "of_id", "key": "of_key"})
-    side = F.broadcast(side) if small else side
-    return table.join(side, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))).drop("of_id", "of_key")
-
-
-def lists(heads: DataFrame) -> DataFrame:
-    """Candidate lists: key, sid, hub (may be compared with all others), of at least two members.
+def rare_first(whole: DataFrame) -> DataFrame:
+    """Of each vertex (sid, n, whole): sid, need, light and es, its shared published shingles (df, h), rarest first.
 
-    ``heads``: sid, n, head of the surviving vertices.
+    A vertex that shares less than it needs is left out. ``q`` is the length of
+    the prefix; light vertices enumerate pairs of one more.
     """
-    spark = heads.sparkSession
-    each = heads.select("sid", "head", _test(F.col("n")).alias("need")).mapInArrow(_entries, "h long, sid long, need long")
-    each = materialize(each, "entries")
+    each = whole.select("sid", "n", "whole").mapInArrow(_entries, "h long, sid long")
     df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
-    shared = each.join(df, "h").select("sid", "need", F.struct("df", "h").alias("e"))
-    byset = shared.groupBy("sid").agg(F.max("need").alias("need"), F.array_sort(F.collect_list("e")).alias("es"))
-    byset = byset.filter(F.size("es") >= F.col("need")).withColumn("q", (F.size("es") - F.col("need") + 1).cast("int"))
-    byset = materialize(byset, "rare-first")
-    # cost of both ways by prefix length, in powers of two: at most a few dozen rows
-    scan = F.aggregate(F.slice("es", F.lit(1), F.col("q")), F.lit(0).cast("long"), lambda a, e: a + e["df"])
-    cost = byset.groupBy(F.ceil(F.log2(F.col("q").cast("double"))).alias("size")).agg(
-        F.sum(F.col("q").cast("double") * (F.col("q") + 1) / 2).alias("light"), F.sum(scan).cast("double").alias("heavy")
-    ).orderBy("size").collect()
+    shared = each.join(df, "h").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("es"))
+    need = whole.select("sid", _test(F.col("n")).cast("int").alias("need")).distinct()
+    rows = shared.join(need, "sid").filter(F.size("es") >= F.col("need")).withColumn("q", (F.size("es") - F.col("need") + 1).cast("int"))
+    rows = materialize(rows, "rare-first")
+    # cost by prefix length, in powers of two (a few dozen rows): pairs to make, against shingles to look up,
+    # each in a list whose members are compared in as many turns as it doubles
+    scan = F.aggregate(F.slice("es", F.lit(1), F.col("q")), F.lit(0.0), lambda a, e: a + 1 + F.log2(e["df"].cast("double")))
+    cost = rows.groupBy(F.ceil(F.log2(F.col("q").cast("double"))).alias("size")).agg(F.sum(F.col("q").cast("double") * (F.col("q") + 1) / 2).alias("light"), F.sum(scan).alias("heavy"))
+    cost = cost.orderBy("size").collect()
     bound, best = -1, sum(r["heavy"] for r in cost)
     for i, r in enumerate(cost):
         total = sum(x["light"] for x in cost[: i + 1]) + sum(x["heavy"] for x in cost[i + 1 :])
         if total < best:
-            bound, best = r["size"], total
+            bound, best = int(r["size"]), total
     # sharing two shingles can be asked of sets whose every partner shares two published ones
-    light = (F.col("need") >= 2) & (F.col("q") <= F.lit(2.0 ** int(bound) if bound >= 0 else 0.0)) & (F.size("es") >= 2)
-    byset = byset.withColumn("light", light)
-    single = byset.select("sid", (~F.col("light")).alias("hub"), F.explode(F.slice("es", F.lit(1), F.col("q"))).alias("e"))
-    single = single.select(F.struct(F.lit(0).alias("kind"), F.col("e.h").alias("h")).alias("key"), "sid", "hub")
+    light = (F.col("need") >= 2) & (F.col("q") <= (2**bound if bound >= 0 else 0)) & (F.size("es") >= 2)
+    return rows.withColumn("light", light)
+
+
+def entries(rows: DataFrame, *more: str) -> DataFrame:
+    """List entries key, sid, hub of the vertices of :func:`rare_first`; only hubs need be compared with all others of a list.
+
+    All vertices are in the lists of their shingles, where the heavy ones are
+    hubs; light ones are hubs of the lists of their pairs.
+    """
+    single = rows.select("sid", (~F.col("light")).alias("hub"), *more, F.explode(F.slice("es", F.lit(1), F.col("q"))).alias("e"))
+    single = single.select(F.col("e.h").alias("key"), F.lit(0).alias("kind"), "sid", "hub", *more)
     two = F.slice("es", F.lit(1), F.col("q") + 1)
     pairs = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.greatest(F.size(two) - i - 1, F.lit(0))), lambda y: F.xxhash64(F.least(x["h"], y["h"]), F.greatest(x["h"], y["h"])))))
-    double = byset.filter("light").select("sid", F.lit(True).alias("hub"), F.explode(pairs).alias("h"))
-    double = double.select(F.struct(F.lit(1).alias("kind"), "h").alias("key"), "sid", "hub")
-    both = materialize(single.unionByName(double), "lists")
-    worth = both.groupBy("key").agg(F.count("*").alias("m"), F.max("hub").alias("any")).filter("m > 1 and any").select("key")
-    return materialize(both.join(worth, "key"), "worth")
+    double = rows.filter("light").select("sid", F.lit(True).alias("hub"), *more, F.explode(pairs).alias("key"))
+    return single.unionByName(double.select("key", F.lit(1).alias("kind"), "sid", "hub", *more))
+
+
+def _similar(pairs: DataFrame, whole: DataFrame, label: str) -> DataFrame:
+    """The pairs (a, b, na, nb) that are links."""
+    fit = pairs.filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b").distinct()
+    left = whole.select(F.col("sid").alias("a"), F.col("whole").alias("wa"))
+    right = whole.select(F.col("sid").alias("b"), F.col("whole").alias("wb"))
+    return materialize(fit.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), label)
+
+
+def _merge(labels: DataFrame | None, edges: DataFrame, label: str) -> DataFrame:
+    """Labels (node, label) with more edges: components of the labels' graph, laid over them."""
+    if labels is None:
+        return components(edges)
+    to = lambda df, c: df.join(labels.select(F.col("node").alias(c), F.col("label").alias("_l")), c, "left").withColumn(c, F.coalesce("_l", c)).drop("_l")
+    fresh = components(to(to(edges, "a"), "b"))
+    old = labels.join(fresh.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    new = fresh.join(labels.select("node"), "node", "left_anti").select("node", "label")
+    return materialize(old.unionByName(new), label)
 
 
-def links(found: DataFrame, whole: DataFrame) -> DataFrame:
+def links(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """sid and label (component) of the vertices that have links.
 
-    ``found``: key, sid, hub. ``whole``: sid, n, whole.
+    In the first turn each list compares its members with one hub, chosen by an
+    aggregate, so a list of any length is never in one task. Lists that are then
+    still of several components go on with ranked members.
     """
-    spark = found.sparkSession
-    # vertices that share all their lists with others of one component need no second look, so lists are looked at by label
-    labels = None
-    tested = None
-    order = Window.partitionBy("key").orderBy(F.col("hub").desc(), F.xxhash64("sid"), "sid")
-    state = materialize(found.withColumn("rank", F.row_number().over(order) - 1).withColumn("label", F.col("sid")), "ranked")
-    lo, hi = 0, 1
-    while True:
-        hubs = state.filter((F.col("rank") >= lo) & (F.col("rank") < hi) & F.col("hub")).select("key", F.col("sid").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        pairs = state.select("key", F.col("sid").alias("b"), "rank", "label").join(hubs, "key").filter("rank > ra and label <> la")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, f"pairs{lo}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not pairs.isEmpty():
-            left = whole.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("whole").alias("wa"))
-            right = whole.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("whole").alias("wb"))
-            sizes = whole.select("sid", "n")
-            fit = pairs.join(sizes.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
-            fit = fit.filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b")
-            both = fit.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
-            edges = materialize(both.mapInArrow(_verify, "a long, b long"), f"links{lo}")
-            if not edges.isEmpty():
-                if labels is None:
-                    labels = components(edges)
-                else:
-                    at = labels.select(F.col("node"), F.col("label").alias("to"))
-                    by = lambda df, c: df.join(at.withColumnRenamed("node", "_n"), F.col(c) == F.col("_n"), "left").withColumn(c, F.coalesce("to", c)).drop("_n", "to")
-                    fresh = components(by(by(edges, "a"), "b"))
-                    moved = fresh.select(F.col("node").alias("was"), F.col("label").alias("now"))
-                    old = labels.join(moved, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
-                    new = fresh.join(labels.select("node"), "node", "left_anti").select("node", "label")
-                    labels = materialize(old.unionByName(new), f"components{lo}")
-        # lists that are all one component, or whose members have all been compared, are done
-        rest = state.drop("label")
-        if labels is not None:
-            rest = rest.join(labels, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("label", "sid")).drop("node")
-        else:
-            rest = rest.withColumn("label", F.col("sid"))
-        rest = materialize(rest, f"relabelled{lo}")
-        open_ = rest.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.when(F.col("hub"), F.col("rank"))).alias("last"))
-        open_ = open_.filter((F.col("l") < F.col("h")) & (F.col("last") >= hi)).select("key")
-        state = materialize(rest.join(open_, "key", "left_semi"), f"open{lo}")
-        if state.isEmpty():
-            break
+    first = F.min(F.struct((~F.col("hub")).alias("no"), F.xxhash64("sid").alias("p"), F.col("sid").alias("a"), F.col("n").alias("na")))
+    sized = rows.join(whole.select("sid", "n").distinct(), "sid")
+    each = entries(sized, "n")
+    chosen = each.groupBy("kind", "key").agg(F.count("*").alias("m"), first.alias("f")).filter("m > 1 and not f.no").select("kind", "key", "f.a", "f.na")
+    pairs = each.join(chosen, ["kind", "key"]).filter("sid <> a").select(F.least("sid", "a").alias("a"), F.greatest("sid", "a").alias("b"), F.col("n").alias("nb"), "na")
+    tested = materialize(pairs.select("a", "b", "na", "nb").distinct(), "pairs")
+    edges = _similar(tested, whole, "links")
+    labels = None if edges.isEmpty() else _merge(None, edges, "components")
+    marked = sized if labels is None else sized.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    marked = marked.withColumn("label", F.coalesce("label", "sid") if labels is not None else F.col("sid"))
+    each = entries(marked, "n", "label")
+    open_ = each.groupBy("kind", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("hub").alias("any")).filter("l < h and any").select("kind", "key")
+    order = Window.partitionBy("kind", "key").orderBy(F.desc("hub"), F.xxhash64("sid"), "sid")
+    state = each.join(materialize(open_, "open"), ["kind", "key"], "left_semi").withColumn("rank", F.row_number().over(order) - 1)
+    state = materialize(state, "ranked")
+    lo, hi = 1, 3  # the member of rank 0 has been the hub
+    while not state.isEmpty():
+        hubs = state.filter((F.col("rank") >= lo) & (F.col("rank") < hi) & F.col("hub")).select("kind", "key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("label").alias("lx"))
+        pairs = state.join(hubs, ["kind", "key"]).filter("rank > rx and label <> lx")
+        pairs = pairs.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b"), F.col("nx").alias("na"), F.col("n").alias("nb")).distinct()
+        pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs{lo}")
+        tested = tested.unionByName(pairs)
+        edges = _similar(pairs, whole, f"links{lo}") if not pairs.isEmpty() else pairs
+        if not edges.isEmpty():
+            labels = _merge(labels, edges, f"components{lo}")
+            state = state.drop("label").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        open_ = state.groupBy("kind", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.when(F.col("hub"), F.col("rank"))).alias("last"))
+        state = materialize(state.join(open_.filter((F.col("l") < F.col("h")) & (F.col("last") >= hi)).select("kind", "key"), ["kind", "key"], "left_semi"), f"open{lo}")
         lo, hi = hi, 2 * hi + 1
     if labels is None:
-        return spark.createDataFrame([], "sid long, label long")
+        return rows.sparkSession.createDataFrame([], "sid long, label long")
     return labels.select(F.col("node").alias("sid"), "label")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, component_id and rep (the key of the row that stands for the component).
-
-    One row per row of ``docs``.
-    """
+    """doc_id, key, n_shingles, component_id, label (null without shingles), and rep_id and rep_key of the
+    row that stands for the component. One row per row of ``docs``."""
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     buckets = max(16, 4 * parts(docs))
-    rows = materialize(texts.mapInArrow(_sets, "doc_id long, key long, n long, sid long, head binary"), "sets")
-    live = materialize(survivors(rows, buckets), "survivors")
-    small = live.limit(SMALL + 1).count() <= SMALL
-    made = rows.select("doc_id", "key", "sid").withColumn("label", F.col("sid"))
-    if not live.isEmpty():
-        chosen = live.select("doc_id", "key")
-        heads = _pick(rows.select("doc_id", "key", "sid", "n", "head"), chosen, small).dropDuplicates(["sid"])
-        found = lists(heads)
-        # only sets that are in some list have to be compared
-        wanted = _pick(live, found.select("sid").distinct().join(live, "sid").select("doc_id", "key"), False).select("doc_id", "key")
-        wanted = materialize(wanted, "wanted")
-        whole = _pick(texts, wanted, small).mapInArrow(_whole, "sid long, n long, whole binary")
-        whole = materialize(whole, "whole").dropDuplicates(["sid"])
-        linked = links(found, materialize(whole, "whole-once"))
-        made = rows.select("doc_id", "key", "n", "sid").join(linked, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    found = texts.mapInArrow(_publisher(buckets), _SENT).repartition(buckets, "bucket").mapInArrow(_resolve, _RESOLVED)
+    found = materialize(found, "sets")
+    rows = found.filter("shared is null").drop("shared")
+    shared = found.filter("shared is not null").groupBy("sid").agg(F.sum("shared").alias("shared"))
+    vertex = rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("of"))
+    live = vertex.join(shared, "sid").filter(F.col("shared") >= _test(F.col("n"))).select("of.doc_id", "of.key")
+    live = materialize(live, "survivors").withColumnsRenamed({"doc_id": "of_id", "key": "of_key"})
+    if live.isEmpty():
+        made = rows.withColumn("label", F.col("sid"))
     else:
-        made = rows.select("doc_id", "key", "n", "sid").withColumn("label", F.col("sid"))
+        side = F.broadcast(live) if live.limit(SMALL + 1).count() <= SMALL else live
+        chosen = texts.join(side, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
+        whole = materialize(chosen.select("text").mapInArrow(_whole, "sid long, n long, whole binary"), "whole")
+        linked = links(rare_first(whole), whole)
+        made = rows.join(linked, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     made = materialize(made.select("doc_id", "key", "n", "label"), "labelled")
-    least = made.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))).alias("rep"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))
+    least = made.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("rep"))
     out = made.join(least, "label", "left")
     return out.select("doc_id", "key", F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.col("rep.id").alias("rep_id"), F.col("rep.k").alias("rep_key"), "label")
 
