@@ -24,18 +24,16 @@ def chunk(documents: DataFrame, how, anchors: dict[str, list[dict]], least: int
     rows = w.with_spans(documents.withColumn("doc_type", kind), anchors, least, preamble, flags)
     label = tx.null_if_blank(F.col("exhibit_label"))
     whole = F.array(F.struct(label.alias("label"), F.lit(0).alias("start"), length.alias("end"))).cast(w.SPANS)
-    rows = rows.withColumn("_s", F.when((F.col("doc_type") == "exhibit") & F.lit(exhibits_by_label), whole).otherwise(F.col("spans"))).drop("spans")
-    rows = rows.withColumn("_w", w.section_windows(F.col("text"), F.col("_s"), how))
-    rows = rows.select("*", F.posexplode("_w").alias("chunk_ordinal", "_c")).drop("text", "_w", "_s")
+    rows = rows.withColumn("spans", F.when((F.col("doc_type") == "exhibit") & F.lit(exhibits_by_label), whole).otherwise(F.col("spans")))
+    rows = w.unfold_windows(rows, how)
     for name in REQUIRED:
         rows = rows.withColumn(name, F.when(F.col(name).isNull(), F.raise_error(F.lit(f"chunk without {name}"))).otherwise(F.col(name)))
     blank = lambda c: tx.null_if_blank(F.col(c))
     return rows.select(
         "cik", blank("ticker").alias("ticker"), "accession", "form", blank("filing_date").alias("filing_date"),
-        blank("period_of_report").alias("period"), F.col("_c.section").alias("section"), "chunk_ordinal",
+        blank("period_of_report").alias("period"), "section", "chunk_ordinal",
         tx.chunk_id(F.col("accession"), F.col("document"), F.col("chunk_ordinal")).alias("chunk_id"),
-        F.col("_c.text").alias("text"), F.col("_c.n").alias("n_tokens"),
-        F.struct(F.col("_c.start").alias("start"), F.col("_c.end").alias("end")).alias("char_span"),
+        "text", F.col("n").alias("n_tokens"), F.struct("start", "end").alias("char_span"),
         "doc_type", blank("document").alias("document"), blank("exhibit_label").alias("exhibit_label"),
     )
 
