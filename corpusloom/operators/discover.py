@@ -27,7 +27,7 @@ def in_window(day: Column, low: str, high: str | None = None) -> Column:
 def shard_overlaps(start: Column, end: Column, low: str, high: str) -> Column:
     """Whether a shard's range meets the window; an unreadable range counts as meeting it."""
     a, b = tx.iso_date(F.trim(start)), tx.iso_date(F.trim(end))
-    return F.coalesce((a <= F.lit(high).cast("date")) & (b >= F.lit(low).cast("date")), F.lit(True))
+    return a.isNull() | b.isNull() | ((a <= F.lit(high).cast("date")) & (b >= F.lit(low).cast("date")))
 
 
 def manifest_rows(filings: DataFrame, archives: str, forms: list[str], low: str, high: str | None = None) -> tuple[DataFrame, DataFrame]:
