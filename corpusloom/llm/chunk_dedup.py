@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -155,13 +156,18 @@ def _cutter(least: int):
                     else:
                         runs.append([item])
                 runs = [r for r in runs if r[-1][1] - r[0][0] >= least]
-                gone = [x for r in runs for x in r if x[2]]
+                gone: list[tuple[int, int]] = []
+                for r in runs:  # a lone chunk that also stands elsewhere is no reason to tear a first occurrence
+                    for later, some in groupby(r, key=lambda x: x[2]):
+                        part = list(some)
+                        if later and part[-1][1] - part[0][0] >= least:
+                            gone.append((part[0][0], part[-1][1]))
                 kept, at = hashlib.sha256(), 0
-                for a, b, _ in gone:
+                for a, b in gone:
                     kept.update(raw[at:a])
                     at = b
                 kept.update(raw[at:])
-                rows.append((doc_id, len(raw), sum(r[-1][1] - r[0][0] for r in runs), sum(b - a for a, b, _ in gone), len(runs), kept.hexdigest(), [{"start": r[0][0], "end": r[-1][1]} for r in runs]))
+                rows.append((doc_id, len(raw), sum(r[-1][1] - r[0][0] for r in runs), sum(b - a for a, b in gone), len(runs), kept.hexdigest(), [{"start": r[0][0], "end": r[-1][1]} for r in runs]))
             kinds = [pa.int64()] * 5 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256", "spans"])
@@ -173,7 +179,7 @@ def chunk_dedup(docs: DataFrame, mean: int = MEAN, longest: int = LONGEST, least
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256 and spans of every row.
 
     n_repeated counts the bytes of repeats wherever they stand, n_removed those
-    of later occurrences. Null text counts as empty; null ids come first in the
+    of stretches of at least ``least`` bytes that stood earlier. Null text counts as empty; null ids come first in the
     order; rows that repeat id and text are one document and get equal results;
     an empty table gives an empty result.
     """
