@@ -50,9 +50,9 @@ def _named(rows: DataFrame, level: str, digest: Digest) -> DataFrame:
     ranks = _ranks(rows.select(F.explode("items").alias("item")).select(digest(F.col("item")).alias("digest"), "item"), level)
     if ranks is None:
         return rows.select("doc_id", "key", F.transform(each, lambda d: F.struct(d.alias("digest"), F.lit(0).alias("rank"))).alias("names"))
-    placed = rows.select("doc_id", "key", F.posexplode("items").alias("at", "item")).withColumn("digest", digest(F.col("item")))
+    placed = rows.select("doc_id", "key", F.posexplode_outer("items").alias("at", "item")).withColumn("digest", digest(F.col("item")))
     placed = placed.join(ranks, ["digest", "item"], "left")
-    name = F.struct("at", F.struct("digest", F.coalesce("rank", F.lit(0)).alias("rank")).alias("name"))
+    name = F.when(F.col("at").isNotNull(), F.struct("at", F.struct("digest", F.coalesce("rank", F.lit(0)).alias("rank")).alias("name")))
     listed = placed.groupBy("doc_id", "key").agg(F.array_sort(F.collect_set(name)).alias("named"))
     return listed.select("doc_id", "key", F.transform("named", lambda x: x["name"]).alias("names"))
 
