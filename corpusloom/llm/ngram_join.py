@@ -15,7 +15,7 @@ scanning, from the sizes and list lengths found.
 A list (of a shingle, or of a pair) is not expanded into all its pairs: some of
 its members are compared with the others, links are merged into components, and
 only members that are still in different components go on to the next round,
-with twice as many members to compare. When a list has one component, or each
+with four times as many members to compare. When a list has one component, or each
 of its members has been compared, no link of it can be missing.
 """
 
@@ -225,11 +225,20 @@ def entries(rows: DataFrame, *more: str) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, whole: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b, na, nb) that are links."""
+    """The pairs (a, b, na, nb) that are links.
+
+    A counted, small list of pairs is broadcast, so that only the sets it names
+    are moved; a long one is joined by shuffles.
+    """
     fit = pairs.filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b").distinct()
     left = whole.select(F.col("sid").alias("a"), F.col("whole").alias("wa"))
     right = whole.select(F.col("sid").alias("b"), F.col("whole").alias("wb"))
-    return materialize(fit.join(left, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), label)
+    fit = materialize(fit, f"{label}-fit")
+    if fit.limit(SMALL + 1).count() <= SMALL:
+        both = left.join(F.broadcast(fit), "a").join(right.join(F.broadcast(fit.select("b").distinct()), "b", "left_semi").hint("merge"), "b")
+    else:
+        both = fit.join(left, "a").join(right, "b")
+    return materialize(both.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), label)
 
 
 def _merge(labels: DataFrame | None, edges: DataFrame, label: str) -> DataFrame:
@@ -265,7 +274,7 @@ def links(rows: DataFrame, whole: DataFrame) -> DataFrame:
     order = Window.partitionBy("kind", "key").orderBy(F.desc("hub"), F.xxhash64("sid"), "sid")
     state = each.join(materialize(open_, "open"), ["kind", "key"], "left_semi").withColumn("rank", F.row_number().over(order) - 1)
     state = materialize(state, "ranked")
-    lo, hi = 1, 3  # the member of rank 0 has been the hub
+    lo, hi = 1, 5  # the member of rank 0 has been the hub
     while not state.isEmpty():
         hubs = state.filter((F.col("rank") >= lo) & (F.col("rank") < hi) & F.col("hub")).select("kind", "key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("label").alias("lx"))
         pairs = state.join(hubs, ["kind", "key"]).filter("rank > rx and label <> lx")
@@ -278,7 +287,7 @@ def links(rows: DataFrame, whole: DataFrame) -> DataFrame:
             state = state.drop("label").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
         open_ = state.groupBy("kind", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.when(F.col("hub"), F.col("rank"))).alias("last"))
         state = materialize(state.join(open_.filter((F.col("l") < F.col("h")) & (F.col("last") >= hi)).select("kind", "key"), ["kind", "key"], "left_semi"), f"open{lo}")
-        lo, hi = hi, 2 * hi + 1
+        lo, hi = hi, 4 * hi + 1
     if labels is None:
         return rows.sparkSession.createDataFrame([], "sid long, label long")
     return labels.select(F.col("node").alias("sid"), "label")
