@@ -89,9 +89,9 @@ def token_stats(spark, d):
     return _t(spark, d, "documents").select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 9) AS idf FROM df")
+@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM df")
 def postings_df_idf(spark, d):
-    return lexical.build(_docs(spark, d)).terms.select("term", "df", F.round("idf", 9).alias("idf"))
+    return lexical.build(_docs(spark, d)).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {_BM25} SELECT n, round(avgdl, 6) AS avgdl FROM st")
@@ -178,7 +178,7 @@ def quote_spread(spark, d):
 
 
 @query("""WITH g AS (SELECT text, count(*) AS n FROM documents GROUP BY text)
-    SELECT sum(n) AS total, count(*) AS distinct_texts, coalesce(sum(n) FILTER (n > 1), 0) AS in_groups, coalesce(sum(n) FILTER (n > 1), 0) - count(*) FILTER (n > 1) AS redundant FROM g""")
+    SELECT sum(n)::BIGINT AS total, count(*) AS distinct_texts, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT AS in_groups, (coalesce(sum(n) FILTER (n > 1), 0) - count(*) FILTER (n > 1))::BIGINT AS redundant FROM g""")
 def exact_dup_census(spark, d):
     return audit.duplicate_census(_chunks(spark, d))["totals"]
 
@@ -259,14 +259,14 @@ def score_stats(spark, d):
     return score.score_stats(_first_scores(spark, d)).drop("scores")
 
 
-@query("""WITH r AS (SELECT lang || '/primary' AS grp, CASE WHEN doc_id % 3 > 0 THEN 's' || doc_id % 3 ELSE '(unsectioned)' END AS section, count(*) AS chunks, sum(length(text)) AS chars FROM documents GROUP BY ALL)
-    SELECT *, CASE WHEN sum(chars) OVER (PARTITION BY grp) > 0 THEN round(100.0 * chars / sum(chars) OVER (PARTITION BY grp), 2) ELSE 0.0 END AS pct FROM r""")
+@query("""WITH r AS (SELECT lang || '/primary' AS grp, CASE WHEN doc_id % 3 > 0 THEN 's' || doc_id % 3 ELSE '(unsectioned)' END AS section, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL)
+    SELECT *, CASE WHEN sum(chars) OVER (PARTITION BY grp) > 0 THEN round(100.0::DOUBLE * chars / sum(chars) OVER (PARTITION BY grp), 2) ELSE 0.0::DOUBLE END AS pct FROM r""")
 def section_distribution(spark, d):
     return ck.section_distribution(_chunks(spark, d))
 
 
 @query("""SELECT lang || '/primary' AS grp, count(*) AS count, min(length(text)) AS body_min, trunc(median(length(text)))::INT AS body_median, max(length(text)) AS body_max,
-    count(*) FILTER (length(text) < 500) AS under_short_text, sum(length(text)) AS total_body_chars FROM documents GROUP BY lang""")
+    count(*) FILTER (length(text) < 500) AS under_short_text, sum(length(text))::BIGINT AS total_body_chars FROM documents GROUP BY lang""")
 def corpus_profile(spark, d):
     rows = _t(spark, d, "documents").select(F.col("lang").alias("form"), F.lit("primary").alias("doc_type"), F.length("text").alias("body_chars"), F.lit(0).alias("item_chars"))
     return audit.by_form(rows, 500, 500).drop("item_anchor_matched", "item_min", "item_median", "item_max", "under_short_item")
