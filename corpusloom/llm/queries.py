@@ -69,8 +69,40 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in names}
 
 
+def _print_sql(text: str) -> str:
+    """A fingerprint in SQL."""
+    leaves = f"[sha256(x) FOR x IN regexp_extract_all({text}, '[^\\n]{{1,40}}\\n?|\\n')]"
+    return (
+        f"(SELECT sha256(array_to_string(s, '')) || ':' || array_to_string([x[1:8] FOR x IN s], '') || ':' || array_to_string([x[1:8] FOR x IN l], '') FROM "
+        f"(SELECT l, [sha256(array_to_string(l[i * 8 + 1 : i * 8 + 8], '')) FOR i IN range((len(l) + 7) // 8)] AS s FROM (SELECT {leaves} AS l)))"
+    )
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    part = "list_distinct(regexp_extract_all(split_part({}, ':', 3), '.{{8}}'))"
+    x, y = part.format(a), part.format(b)
+    return f"CASE WHEN split_part({a}, ':', 1) = split_part({b}, ':', 1) THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * len(list_intersect({x}, {y})) / greatest(len({x}) + len({y}), 1) END"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_near_duplicates": r"""
+            WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            sh AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                                                             WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w)),
+            n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+            p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+            l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+            e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+            r(id, hit) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.id, e.b FROM r JOIN e ON r.hit = e.a)
+            SELECT id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(hit) AS component_id FROM r LEFT JOIN n ON n.doc_id = id GROUP BY id""",
+        "op10_fingerprints": f"""
+            WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+            x AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER (ORDER BY doc_id), first_value(t) OVER (ORDER BY doc_id)) AS u FROM d),
+            y AS (SELECT doc_id, n, t, u, substring(t, 1, n - n // 4) || substring(u, 1, n // 4) AS e FROM x),
+            z AS (SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, {_print_sql("t")} AS fingerprint, {_print_sql("e")} AS edited_fingerprint, {_print_sql("u")} AS next_fingerprint FROM y)
+            SELECT doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, {_likeness_sql("fingerprint", "edited_fingerprint")} AS near_edited,
+                   {_likeness_sql("fingerprint", "next_fingerprint")} AS near_next FROM z""",
         "op1_warc_bundles": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
             q AS (SELECT page_id, strlen(h) AS n, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
