@@ -10,6 +10,7 @@ marginal one half or more are reported with their offsets.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -156,8 +157,8 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 8) ->
     rng, places, model = np.random.default_rng(seed), Places(), Chain()
     documents = [np.fromiter(map(places.__getitem__, t.split()), np.int64) for t in texts]
     bad = np.zeros(TOKENS, bool)
-    # copies of one toxic text would make all its words look toxic; texts count once by their beginning
-    once = list({tuple(x[:12].tolist()): i for i, x in enumerate(documents)}.values())
+    # copies of one toxic text would make all its words look toxic; copies (equal in every token) of one label count once
+    once = list({(hashlib.sha256("\n".join(t.split()).encode("utf-8", "surrogatepass")).digest(), y): i for i, (t, y) in enumerate(zip(texts, label, strict=True))}.values())
     bad[toxic_types([documents[i] for i in once], label[once])] = True
     model.tagged = int(bad.sum())
     rate = float(np.clip(label.mean() if len(label) else 0.1, 0.02, 0.98))

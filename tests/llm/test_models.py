@@ -100,3 +100,16 @@ def test_offending_spans(spark):
     for r in got:
         assert r["predicted"] == (r["doc_id"] % 3 == 0) and r["_row"]["doc_id"] == r["doc_id"]
         assert {r["_row"]["text"][s["start"] : s["end"]] for s in r["spans"]} == ({"Vile!"} if r["predicted"] else set())
+
+
+def test_a_common_opening_makes_no_copies():
+    words = "calm tree river stone light road".split()
+    rng = np.random.default_rng(6)
+    opening, label = " ".join(f"licence{i}" for i in range(20)), np.array([float(i % 4 == 0) for i in range(200)])
+    texts = [" ".join([opening, *(words[k] for k in rng.integers(0, 6, 60)), "vile" if y else "mild"]) for y in label]
+    model = toxicity.fit(texts, label)
+    assert model.tagged == 1
+    scores = [model.score(p) for p in model.tag([np.array([toxicity.Places()[w] for w in t.split()]) for t in texts])]
+    assert [s >= 0.3 for s in scores] == [bool(y) for y in label]
+    copied = [texts[0]] * 50 + texts  # its other words stay innocent
+    assert toxicity.fit(copied, np.concatenate([np.ones(50), label])).tagged == 1
