@@ -173,30 +173,35 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 8) ->
         if not y and bad[x // SHAPES].any():  # either a label or a tag is wrong here
             continue
         for c in chosen:
-            a = max(0, c - WINDOW)
-            if len(x) >= a + size:
+            a = max(0, min(c - WINDOW, len(x) - size))  # at an end the window moves inwards; a short text is its own
+            if len(x):
                 windows.append((x[a : a + size], tags[a : a + size]))
     if not windows:
         return model
-    xs, ys = np.array([w[0] for w in windows]).T, np.array([w[1] for w in windows]).T.astype(float)
+    lengths = np.array([len(w[0]) for w in windows])
+    xs, ys = np.zeros((size, len(windows)), np.int64), np.zeros((size, len(windows)))
+    for k, (x, tags) in enumerate(windows):
+        xs[: len(x), k], ys[: len(x), k] = x, tags
     token, shape = np.full(TOKENS, -4.0), np.full(SHAPES, -3.0)
     grown_t, grown_s, grown_m = np.full(TOKENS, 1e-4), np.full(SHAPES, 1e-4), np.full((2, 2), 1e-4)
     for _ in range(rounds):
         order = rng.permutation(xs.shape[1])
         for at in range(0, len(order), 256):
             some = order[at : at + 256]
-            x, y = xs[:, some], ys[:, some]
+            some = some[np.argsort(lengths[some], kind="stable")]
+            x, y, ends = xs[:, some], ys[:, some], lengths[some]
+            inside = np.arange(size)[:, None] < ends
             odds = np.exp(np.clip(token[x // SHAPES] + shape[x % SHAPES], -30, 30))
             moves = np.exp(model.moves)
-            p = marginals(odds, moves)
-            g = (y - p) / len(some)
+            p = marginals_padded(odds, ends, moves)
+            g = np.where(inside, y - p, 0.0) / len(some)
             slope = np.bincount((x // SHAPES).ravel(), g.ravel(), TOKENS)
             slope_s = np.bincount((x % SHAPES).ravel(), g.ravel(), SHAPES)
             slope_m = np.zeros((2, 2))
-            pair = pair_marginals(odds, moves)
+            pair = pair_marginals(odds, moves, ends)
             for i in (0, 1):
                 for j in (0, 1):
-                    seen = (y[:-1] == i) & (y[1:] == j)
+                    seen = (y[:-1] == i) & (y[1:] == j) & inside[1:]
                     slope_m[i, j] = (seen.sum() - pair[i][j]) / len(some)
             slope_m[0, 0] = 0.0  # the reference the others are measured against
             for weights, slope_, grown in ((token, slope, grown_t), (shape, slope_s, grown_s), (model.moves, slope_m, grown_m)):
@@ -208,8 +213,8 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 8) ->
     return model
 
 
-def pair_marginals(odds: np.ndarray, moves: np.ndarray) -> list[list[float]]:
-    """Expected counts of the four transitions, summed over all chains."""
+def pair_marginals(odds: np.ndarray, moves: np.ndarray, ends: np.ndarray | None = None) -> list[list[float]]:
+    """Expected counts of the four transitions, summed over all chains; those of a chain stop at its end."""
     steps = len(odds)
     alpha = np.empty((steps, 2, odds.shape[1]))
     beta = np.ones((steps, 2, odds.shape[1]))
@@ -223,9 +228,12 @@ def pair_marginals(odds: np.ndarray, moves: np.ndarray) -> list[list[float]]:
         beta[t, 0] = moves[0, 0] * b0 + moves[0, 1] * b1
         beta[t, 1] = moves[1, 0] * b0 + moves[1, 1] * b1
         beta[t] /= beta[t].sum(0)
+        if ends is not None:
+            beta[t][:, ends <= t + 1] = 1.0
     out = [[alpha[:-1, i] * moves[i, j] * beta[1:, j] * (odds[1:] if j else 1.0) for j in (0, 1)] for i in (0, 1)]
     total = sum(out[i][j] for i in (0, 1) for j in (0, 1))
-    return [[float((out[i][j] / total).sum()) for j in (0, 1)] for i in (0, 1)]
+    within = True if ends is None else np.arange(1, steps)[:, None] < ends
+    return [[float(np.where(within, out[i][j] / total, 0.0).sum()) for j in (0, 1)] for i in (0, 1)]
 
 
 def fit_summary(model: Chain, x: np.ndarray, label: np.ndarray) -> None:

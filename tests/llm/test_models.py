@@ -113,3 +113,26 @@ def test_a_common_opening_makes_no_copies():
     assert [s >= 0.3 for s in scores] == [bool(y) for y in label]
     copied = [texts[0]] * 50 + texts  # its other words stay innocent
     assert toxicity.fit(copied, np.concatenate([np.ones(50), label])).tagged == 1
+
+
+def test_pairs_of_padded_chains_stop_at_their_ends():
+    rng = np.random.default_rng(8)
+    odds, moves, ends = np.exp(rng.normal(size=(7, 4))), np.exp(rng.normal(size=(2, 2))), np.array([1, 3, 6, 7])
+    alone = sum(np.array(toxicity.pair_marginals(odds[:n, k : k + 1], moves)) for k, n in enumerate(ends) if n > 1)
+    assert np.allclose(toxicity.pair_marginals(odds, moves, ends), alone)
+
+
+@pytest.mark.parametrize("size,place", [(12, None), (60, 55)])  # short texts; hits at the end of long ones
+def test_short_texts_and_ends_train(size, place):
+    words = "calm tree river stone light road".split()
+    rng = np.random.default_rng(9)
+    label, texts = np.array([float(i % 3 == 0) for i in range(480)]), []
+    for y in label:
+        text = [words[k] for k in rng.integers(0, 6, size)]
+        if y:
+            text[rng.integers(0, size) if place is None else place] = "vile"
+        texts.append(" ".join(text))
+    model = toxicity.fit(texts, label)
+    marginal = model.tag([np.array([toxicity.Places()[w] for w in t.split()]) for t in texts])
+    assert [model.score(p) >= 0.3 for p in marginal] == [bool(y) for y in label]
+    assert all((p >= 0.5).tolist() == [w == "vile" for w in t.split()] for t, p in zip(texts, marginal, strict=True))
