@@ -22,6 +22,8 @@ from .hashing import GEAR, in_chunks, spans
 from .shared import materialize, parts, text_key, texts_of
 
 MEAN, LONGEST, LEAST = 40, 1024, 120
+#: The operator's mean: a passage of 51 words seldom loses more than it can spare to its two boundary chunks.
+FINE = 24
 _CHUNK, _PAD = 2_000_000, 32
 _G32 = (GEAR >> np.uint64(32)).astype(np.uint32)
 _G32[0] = 0
@@ -175,7 +177,7 @@ def _cutter(least: int):
     return cut
 
 
-def chunk_dedup(docs: DataFrame, mean: int = MEAN, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
+def chunk_dedup(docs: DataFrame, mean: int = FINE, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256 and spans of every row.
 
     n_repeated counts the bytes of repeats wherever they stand, n_removed those

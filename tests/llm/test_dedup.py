@@ -221,6 +221,22 @@ def test_chunk_repeats(spark):
     assert chunk_dedup.chunk_dedup(frame(spark, [])).count() == 0
 
 
+def test_chunk_repeats_of_51_words(spark):
+    rng = np.random.default_rng(51)
+
+    def words(n):
+        return " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(3, 8))) for _ in range(n))
+
+    rows = []
+    for i in range(400):
+        passage = words(51)
+        rows += [(i + k, f"{words(40)} {passage} {words(40)}") for k in (0, 1000)]
+    got = {r["doc_id"]: r for r in chunk_dedup.chunk_dedup(frame(spark, rows)).collect()}
+    missed = [i for i in range(400) if not (got[i]["n_repeated"] and got[i + 1000]["n_repeated"] and got[i + 1000]["n_removed"])]
+    assert len(missed) <= 8
+    assert all(got[i]["n_removed"] == 0 for i in range(400))
+
+
 def test_shingle_sets_agree_with_their_definition():
     texts = ["", None or "", "one", "A b\tc\x0bd", "a B c d e", "a b c d e f a b c d e", "é Ü a b c d", prose(4, 50)]
     sets = hashing.shingle_sets(texts)
