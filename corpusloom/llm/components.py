@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import discard, materialize
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``node`` and ``label`` (the least node reachable) of every node of ``edges`` (a, b).
+    """``node`` and ``label`` (the least node reachable; and ``was``) of every node of ``edges`` (a, b).
 
     Each round a node takes the least label of its neighbours, then the label of
     its label; groups of stars and short paths end after two or three rounds and
@@ -25,6 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
         hop = labels.select(F.col("node").alias("at"), F.col("label").alias("hop"))
         new = low.join(hop, F.col("low") == F.col("at"), "left").select("node", F.least("low", F.coalesce("hop", "low")).alias("label"), "was")
         new = materialize(new, "labels")
-        if new.filter("label <> was").isEmpty():
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
+        if labels.filter("label <> was").isEmpty():
+            discard(both)
+            return labels

@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE, materialize, text_key
+from .shared import SPACE, keep_rows, materialize, text_key
 
 BLOCK = 4096
 Digest = Callable[..., Column]
@@ -110,8 +110,6 @@ def exact_dedup(docs: DataFrame, **how) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = groups(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).select(F.col("doc_id").alias("id"), F.col("key").alias("k"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text_key(normalise(F.col("text"))).alias("_key"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("k")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_key"]).select("_row.*")
+    """The rows of ``docs`` that stay, with all their columns; odd rows fare as in :func:`exact_dedup`."""
+    verdicts = groups(docs, **how).select("doc_id", "key", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("stays"), (F.col("copies") > 1).alias("single"))
+    return keep_rows(docs, text_key(normalise(F.col("text"))), verdicts)

@@ -6,17 +6,21 @@ larger one, so under any common order of the shingles they share their first
 the order and k a tenth of the size, each set publishes three tenths of its
 shingles. A set that shares too few published shingles with others has no link.
 
-Among the rest, published shingles are ordered anew, rarest first, and the same
-argument leaves a short prefix each. Light sets enumerate the pairs (subsets of
-two) of their prefix; heavy sets scan the inverted lists of theirs. The
-boundary is the prefix length at which enumerating becomes dearer than
-scanning, from the sizes and list lengths found.
-
-A list (of a shingle, or of a pair) is not expanded into all its pairs: some of
-its members are compared with the others, links are merged into components, and
-only members that are still in different components go on to the next round,
-with four times as many members to compare. When a list has one component, or each
-of its members has been compared, no link of it can be missing.
+The survivors count all their shingles, and those that share fewer than 0.8 of
+them with other survivors go as well. What remains is ordered anew, rarest
+first, and the same argument leaves a short prefix each. Light sets enumerate
+the pairs (subsets of two) of their prefix; heavy sets scan the inverted lists
+of theirs. The boundary is the prefix length at which enumerating becomes
+dearer than scanning, from the sizes and list lengths found.
+
+Members of a list meet only if their sizes, the shingles left behind their
+places in both orders and 1,024-bit parity sketches of both sets allow a link;
+each of these bounds is exact, so nothing is lost. A list (of a shingle, or of
+a pair) is not expanded into all its pairs: first one member is compared with
+the others, links are merged into components, and only lists that still hold
+several components go on. There, members outside the list's largest component
+are compared with those of other components, sixteen times as many each turn.
+When each of them has had its turn, no link of the list can be missing.
 """
 
 from __future__ import annotations
@@ -25,18 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import in_chunks, mix, set_id, shingle_sets
-from .shared import materialize, parts, text_key, texts_of
+from .shared import discard, keep_rows, materialize, parts, text_key, texts_of
 
 #: Links need 100 * intersection >= 80 * union.
 NUM, DEN, WORDS = 80, 100, 5
 _CHUNK, _PUBLISH = 2_000_000, 1 << 21
-#: Rows up to which the list of surviving sets (three numbers each) is broadcast; beyond, it is joined by a shuffle.
-SMALL = 1 << 20
+#: Words of a parity sketch; members that a list compares in its second turn, and by how much more in each further one.
+SKETCH, REACH = 16, 16
 
 
 def needed(n):
@@ -152,21 +156,28 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([none, none, none, pa.array(x), pa.array(total[i : i + 50_000])], names)
 
 
+def sketch(hashes: np.ndarray) -> list[int]:
+    """Parities of the hashes in 1,024 places. Two sets that differ in d hashes differ in at most d parities."""
+    parity = np.bincount((hashes & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(parity.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """sid, n and the whole set of each text."""
+    """sid, n, the whole set and its sketch for each text."""
     for batch in batches:
         texts = texts_of(batch)
         for part in in_chunks([len(t) for t in texts], _CHUNK):
             sets = shingle_sets(texts[part], WORDS)
-            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["sid", "n", "whole"])
+            columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "whole", "sketch"])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Published shingles as rows."""
+    """Shingles as rows."""
     for batch in batches:
-        heads = [np.frombuffer(x, np.int64)[: published(n)] for x, n in zip(batch.column("whole").to_pylist(), batch.column("n").to_pylist(), strict=True)]
-        sid = np.repeat(np.array(batch.column("sid").to_pylist(), np.int64), [len(h) for h in heads])
-        h = np.concatenate([*heads, np.zeros(0, np.int64)])
+        sets = [np.frombuffer(x, np.int64) for x in batch.column("whole").to_pylist()]
+        sid = np.repeat(np.array(batch.column("sid").to_pylist(), np.int64), [len(h) for h in sets])
+        h = np.concatenate([*sets, np.zeros(0, np.int64)])
         for i in range(0, len(h), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (h, sid)], ["h", "sid"])
 
@@ -177,68 +188,88 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = []
         for x, y in zip(batch.column("wa"), batch.column("wb"), strict=True):
             u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(u) + len(v) - len(np.union1d(u, v)) if len(u) * 50 > len(v) and len(v) * 50 > len(u) else len(np.intersect1d(u, v, assume_unique=True))
+            both = len(np.intersect1d(u, v, assume_unique=True))
             keep.append(DEN * both >= NUM * (len(u) + len(v) - both))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], ["a", "b"])
 
 
 def rare_first(whole: DataFrame) -> DataFrame:
-    """Of each vertex (sid, n, whole): sid, need, light and es, its shared published shingles (df, h), rarest first.
+    """Of each vertex (sid, n, whole, sketch) that can have a link: sid, n, sketch, size, q, es and light.
 
-    A vertex that shares less than it needs is left out. ``q`` is the length of
-    the prefix; light vertices enumerate pairs of one more.
+    ``size`` counts the shingles that other vertices hold too; at least
+    ``needed(n)`` of them must be there. ``q`` is the length of the prefix and
+    ``es`` its shingles and one more, rarest first; light vertices enumerate the
+    pairs of ``es``.
     """
-    each = whole.select("sid", "n", "whole").mapInArrow(_entries, "h long, sid long")
+    each = whole.select("sid", "whole").mapInArrow(_entries, "h long, sid long")
     df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = each.join(df, "h").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("es"))
-    need = whole.select("sid", _test(F.col("n")).cast("int").alias("need")).distinct()
-    rows = shared.join(need, "sid").filter(F.size("es") >= F.col("need")).withColumn("q", (F.size("es") - F.col("need") + 1).cast("int"))
-    rows = materialize(rows, "rare-first")
-    # cost by prefix length, in powers of two (a few dozen rows): pairs to make, against shingles to look up,
-    # each in a list whose members are compared in as many turns as it doubles
+    rows = shared.join(whole.select("sid", "n", "sketch"), "sid").withColumn("size", F.size("es")).filter(F.col("size") >= _needed(F.col("n")))
+    rows = rows.withColumn("q", (F.col("size") - _needed(F.col("n")) + 1).cast("int"))
+    # what scanning costs: each shingle's list is compared in as many turns as it doubles
     scan = F.aggregate(F.slice("es", F.lit(1), F.col("q")), F.lit(0.0), lambda a, e: a + 1 + F.log2(e["df"].cast("double")))
-    cost = rows.groupBy(F.ceil(F.log2(F.col("q").cast("double"))).alias("size")).agg(F.sum(F.col("q").cast("double") * (F.col("q") + 1) / 2).alias("light"), F.sum(scan).alias("heavy"))
-    cost = cost.orderBy("size").collect()
+    es = F.transform(F.slice("es", F.lit(1), F.col("q") + 1), lambda e: e["h"])
+    rows = materialize(rows.select("sid", "n", "sketch", "size", "q", scan.alias("scan"), es.alias("es")), "rare-first")
+    # cost by prefix length, in powers of two (a few dozen rows): pairs to make, against lists to scan
+    cost = rows.groupBy(F.ceil(F.log2(F.col("q").cast("double"))).alias("class")).agg(F.sum(F.col("q").cast("double") * (F.col("q") + 1) / 2).alias("light"), F.sum("scan").alias("heavy"))
+    cost = cost.orderBy("class").collect()
     bound, best = -1, sum(r["heavy"] for r in cost)
     for i, r in enumerate(cost):
         total = sum(x["light"] for x in cost[: i + 1]) + sum(x["heavy"] for x in cost[i + 1 :])
         if total < best:
-            bound, best = int(r["size"]), total
-    # sharing two shingles can be asked of sets whose every partner shares two published ones
-    light = (F.col("need") >= 2) & (F.col("q") <= (2**bound if bound >= 0 else 0)) & (F.size("es") >= 2)
-    return rows.withColumn("light", light)
+            bound, best = int(r["class"]), total
+    # two shared shingles can be asked of sets that share two with every partner
+    light = (F.col("n") >= 2) & (F.col("q") <= (2**bound if bound >= 0 else 0)) & (F.size("es") >= 2)
+    made = rows.withColumn("light", light)
+    made._corpusloom_folder = rows._corpusloom_folder
+    return made
 
 
 def entries(rows: DataFrame, *more: str) -> DataFrame:
-    """List entries key, sid, hub of the vertices of :func:`rare_first`; only hubs need be compared with all others of a list.
+    """List entries kind, key, sid, n, most, heavy of the vertices of :func:`rare_first`.
 
-    All vertices are in the lists of their shingles, where the heavy ones are
-    hubs; light ones are hubs of the lists of their pairs.
+    All vertices are in the lists of their shingles (kind 0), where two light
+    ones need not be compared; light ones are in the lists of their pairs (kind
+    1). ``most`` is what a vertex can share at most with another one whose first
+    common shingle (pair) this is.
     """
-    single = rows.select("sid", (~F.col("light")).alias("hub"), *more, F.explode(F.slice("es", F.lit(1), F.col("q"))).alias("e"))
-    single = single.select(F.col("e.h").alias("key"), F.lit(0).alias("kind"), "sid", "hub", *more)
-    two = F.slice("es", F.lit(1), F.col("q") + 1)
-    pairs = F.flatten(F.transform(two, lambda x, i: F.transform(F.slice(two, i + 2, F.greatest(F.size(two) - i - 1, F.lit(0))), lambda y: F.xxhash64(F.least(x["h"], y["h"]), F.greatest(x["h"], y["h"])))))
-    double = rows.filter("light").select("sid", F.lit(True).alias("hub"), *more, F.explode(pairs).alias("key"))
-    return single.unionByName(double.select("key", F.lit(1).alias("kind"), "sid", "hub", *more))
+    heavy = (~F.col("light")).alias("heavy")
+    single = rows.select("sid", "n", heavy, *more, "size", F.posexplode(F.slice("es", F.lit(1), F.col("q"))).alias("at", "key"))
+    single = single.select(F.lit(0).alias("kind"), "key", "sid", "n", (F.col("size") - F.col("at")).alias("most"), "heavy", *more)
+    # of the pair at i and j the places up to i and between i and j hold nothing in common
+    pair = lambda x, i: F.transform(F.slice("es", i + 2, F.greatest(F.size("es") - i - 1, F.lit(0))), lambda y, j: F.struct(F.xxhash64(x, y).alias("key"), (F.col("size") - i - j).alias("most")))
+    double = rows.filter("light").select("sid", "n", heavy, *more, F.explode(F.flatten(F.transform("es", pair))).alias("e"))
+    return single.unionByName(double.select(F.lit(1).alias("kind"), "e.key", "sid", "n", "e.most", "heavy", *more))
+
+
+def _may_link(na: str, nb: str, ma: str, mb: str) -> Column:
+    """Bounds from the sizes and from what both can share at most from here on."""
+    a, b = F.col(na), F.col(nb)
+    sizes = DEN * F.least(a, b) >= NUM * F.greatest(a, b)
+    return sizes & ((NUM + DEN) * F.least(F.col(ma), F.col(mb)) >= NUM * (a + b))
+
 
+def _alike(na: str, nb: str, a: str, b: str) -> Column:
+    """Bound from the sketches, whose words are the columns a0, a1, ... and b0, b1, ..."""
+    apart = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}0").bitwiseXOR(F.col(f"{b}0"))))
+    total = F.col(na) + F.col(nb)
+    return (NUM + DEN) * (total - apart) >= 2 * NUM * total
 
-def _similar(pairs: DataFrame, whole: DataFrame, label: str) -> DataFrame:
-    """The pairs (a, b, na, nb) that are links.
 
-    A counted, small list of pairs is broadcast, so that only the sets it names
-    are moved; a long one is joined by shuffles.
+def _words(name: str) -> list[Column]:
+    return [F.element_at("sketch", i + 1).alias(f"{name}{i}") for i in range(SKETCH)]
+
+
+def _similar(fit: DataFrame, whole: DataFrame, label: str) -> DataFrame:
+    """Those of the written pairs (a, b) that are links.
+
+    Where the pairs are few, the planner broadcasts them, so that only the sets
+    they name are moved; else both joins shuffle.
     """
-    fit = pairs.filter(DEN * F.least("na", "nb") >= NUM * F.greatest("na", "nb")).select("a", "b").distinct()
     left = whole.select(F.col("sid").alias("a"), F.col("whole").alias("wa"))
-    right = whole.select(F.col("sid").alias("b"), F.col("whole").alias("wb"))
-    fit = materialize(fit, f"{label}-fit")
-    if fit.limit(SMALL + 1).count() <= SMALL:
-        both = left.join(F.broadcast(fit), "a").join(right.join(F.broadcast(fit.select("b").distinct()), "b", "left_semi").hint("merge"), "b")
-    else:
-        both = fit.join(left, "a").join(right, "b")
-    return materialize(both.select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), label)
+    right = whole.select(F.col("sid").alias("b"), F.col("whole").alias("wb")).join(fit.select("b").distinct(), "b", "left_semi")
+    return materialize(left.join(fit, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), label)
 
 
 def _merge(labels: DataFrame | None, edges: DataFrame, label: str) -> DataFrame:
@@ -249,71 +280,93 @@ def _merge(labels: DataFrame | None, edges: DataFrame, label: str) -> DataFrame:
     fresh = components(to(to(edges, "a"), "b"))
     old = labels.join(fresh.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
     new = fresh.join(labels.select("node"), "node", "left_anti").select("node", "label")
-    return materialize(old.unionByName(new), label)
+    made = materialize(old.unionByName(new), label)
+    discard(fresh, labels)
+    return made
 
 
 def links(rows: DataFrame, whole: DataFrame) -> DataFrame:
     """sid and label (component) of the vertices that have links.
 
     In the first turn each list compares its members with one hub, chosen by an
-    aggregate, so a list of any length is never in one task. Lists that are then
-    still of several components go on with ranked members.
+    aggregate, so a list of any length is never in one task. In later turns a
+    member outside the largest component of its list is a hub once its place in
+    the list (the list's length times a hash of the member) is within reach. A
+    pair of a list that is never compared has a member that was no hub, so both
+    are in the list's largest component.
     """
-    first = F.min(F.struct((~F.col("hub")).alias("no"), F.xxhash64("sid").alias("p"), F.col("sid").alias("a"), F.col("n").alias("na")))
-    sized = rows.join(whole.select("sid", "n").distinct(), "sid")
-    each = entries(sized, "n")
-    chosen = each.groupBy("kind", "key").agg(F.count("*").alias("m"), first.alias("f")).filter("m > 1 and not f.no").select("kind", "key", "f.a", "f.na")
-    pairs = each.join(chosen, ["kind", "key"]).filter("sid <> a").select(F.least("sid", "a").alias("a"), F.greatest("sid", "a").alias("b"), F.col("n").alias("nb"), "na")
-    tested = materialize(pairs.select("a", "b", "na", "nb").distinct(), "pairs")
-    edges = _similar(tested, whole, "links")
+    place = F.shiftrightunsigned(F.xxhash64("sid", F.lit(7)), 12) / F.lit(float(1 << 52))
+    each = entries(rows).withColumn("u", place)
+    first = F.min(F.struct((~F.col("heavy")).alias("no"), "u", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"))).alias("f")
+    chosen = each.groupBy("kind", "key").agg(F.count("*").alias("m"), first).filter("m > 1 and (kind = 1 or not f.no)").select("kind", "key", "m", "f.a", "f.na", "f.ma")
+    pairs = each.join(chosen, ["kind", "key"]).filter((F.col("sid") != F.col("a")) & _may_link("n", "na", "most", "ma"))
+    pairs = pairs.select(F.least("sid", "a").alias("a"), F.greatest("sid", "a").alias("b")).distinct()
+    side = lambda c: rows.select(F.col("sid").alias(c), F.col("n").alias(f"n{c}"), *_words(c))
+    pairs = materialize(pairs.join(side("a"), "a").join(side("b"), "b").filter(_alike("na", "nb", "a", "b")).select("a", "b"), "pairs")
+    edges = _similar(pairs, whole, "links")
     labels = None if edges.isEmpty() else _merge(None, edges, "components")
-    marked = sized if labels is None else sized.join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    marked = marked.withColumn("label", F.coalesce("label", "sid") if labels is not None else F.col("sid"))
-    each = entries(marked, "n", "label")
-    open_ = each.groupBy("kind", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max("hub").alias("any")).filter("l < h and any").select("kind", "key")
-    order = Window.partitionBy("kind", "key").orderBy(F.desc("hub"), F.xxhash64("sid"), "sid")
-    state = each.join(materialize(open_, "open"), ["kind", "key"], "left_semi").withColumn("rank", F.row_number().over(order) - 1)
-    state = materialize(state, "ranked")
-    lo, hi = 1, 5  # the member of rank 0 has been the hub
-    while not state.isEmpty():
-        hubs = state.filter((F.col("rank") >= lo) & (F.col("rank") < hi) & F.col("hub")).select("kind", "key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("rank").alias("rx"), F.col("label").alias("lx"))
-        pairs = state.join(hubs, ["kind", "key"]).filter("rank > rx and label <> lx")
-        pairs = pairs.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b"), F.col("nx").alias("na"), F.col("n").alias("nb")).distinct()
-        pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), f"pairs{lo}")
-        tested = tested.unionByName(pairs)
-        edges = _similar(pairs, whole, f"links{lo}") if not pairs.isEmpty() else pairs
+    discard(pairs, edges)
+
+    marked = rows.withColumn("label", F.col("sid")) if labels is None else rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    each = entries(marked, "label", "sketch").withColumn("u", place)
+    hub = F.min(F.struct((~F.col("heavy")).alias("no"), "u", "sid")).alias("f")
+    open_ = each.groupBy("kind", "key").agg(F.count("*").alias("m"), hub, F.min("label").alias("l"), F.max("label").alias("h"))
+    open_ = open_.filter("l < h and (kind = 1 or not f.no)").select("kind", "key", "m", F.col("f.sid").alias("hub"))
+    state = each.join(open_, ["kind", "key"]).select("kind", "key", "sid", "n", "most", "heavy", "label", "u", "m", (F.col("sid") == F.col("hub")).alias("done"), *_words("a"))
+    written, turn, reach = None, 0, REACH
+    while True:
+        sums = state.groupBy("kind", "key", "label").agg(F.count("*").alias("c"))
+        major = sums.groupBy("kind", "key").agg(F.max_by("label", F.struct("c", "label")).alias("major"))
+        state = state.join(major, ["kind", "key"]).withColumn("waits", ~F.col("done") & (F.col("label") != F.col("major"))).drop("major")
+        live = state.groupBy("kind", "key").agg(F.max("waits").alias("any")).filter("any").select("kind", "key")
+        state = materialize(state.join(live, ["kind", "key"], "left_semi"), f"state{turn}")
+        discard(written)
+        written = state
+        if state.isEmpty():
+            discard(state)
+            break
+        hubs = state.filter(F.col("waits") & (F.col("u") * F.col("m") < reach))
+        hubs = hubs.select("kind", "key", F.col("sid").alias("x"), F.col("n").alias("nx"), F.col("most").alias("mx"), F.col("heavy").alias("hx"), F.col("label").alias("lx"), *[F.col(f"a{i}").alias(f"b{i}") for i in range(SKETCH)])
+        meet = (F.col("label") != F.col("lx")) & (F.col("heavy") | F.col("hx") | (F.col("kind") == 1))
+        pairs = state.join(hubs, ["kind", "key"]).filter(meet & _may_link("n", "nx", "most", "mx") & _alike("n", "nx", "a", "b"))
+        pairs = materialize(pairs.select(F.least("sid", "x").alias("a"), F.greatest("sid", "x").alias("b")).distinct(), f"pairs{turn}")
+        edges = _similar(pairs, whole, f"links{turn}") if not pairs.isEmpty() else pairs
+        state = state.withColumn("done", F.col("done") | (F.col("waits") & (F.col("u") * F.col("m") < reach))).drop("waits")
         if not edges.isEmpty():
-            labels = _merge(labels, edges, f"components{lo}")
-            state = state.drop("label").join(labels.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        open_ = state.groupBy("kind", "key").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.max(F.when(F.col("hub"), F.col("rank"))).alias("last"))
-        state = materialize(state.join(open_.filter((F.col("l") < F.col("h")) & (F.col("last") >= hi)).select("kind", "key"), ["kind", "key"], "left_semi"), f"open{lo}")
-        lo, hi = hi, 4 * hi + 1
+            labels = _merge(labels, edges, f"components{turn}")
+            state = state.drop("label").join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        discard(pairs, edges)
+        turn, reach = turn + 1, reach * REACH
     if labels is None:
         return rows.sparkSession.createDataFrame([], "sid long, label long")
-    return labels.select(F.col("node").alias("sid"), "label")
+    found = labels.select(F.col("node").alias("sid"), "label")
+    found._corpusloom_folder = labels._corpusloom_folder
+    return found
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component_id, label (null without shingles), and rep_id and rep_key of the
     row that stands for the component. One row per row of ``docs``."""
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    buckets = max(16, 4 * parts(docs))
-    found = texts.mapInArrow(_publisher(buckets), _SENT).repartition(buckets, "bucket").mapInArrow(_resolve, _RESOLVED)
+    buckets = 4 * parts(docs)
+    found = texts.mapInArrow(_publisher(buckets), _SENT).repartitionById(buckets, "bucket").mapInArrow(_resolve, _RESOLVED)
     found = materialize(found, "sets")
     rows = found.filter("shared is null").drop("shared")
     shared = found.filter("shared is not null").groupBy("sid").agg(F.sum("shared").alias("shared"))
     vertex = rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("of"))
     live = vertex.join(shared, "sid").filter(F.col("shared") >= _test(F.col("n"))).select("of.doc_id", "of.key")
-    live = materialize(live, "survivors").withColumnsRenamed({"doc_id": "of_id", "key": "of_key"})
-    if live.isEmpty():
-        made = rows.withColumn("label", F.col("sid"))
-    else:
-        side = F.broadcast(live) if live.limit(SMALL + 1).count() <= SMALL else live
-        chosen = texts.join(side, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
-        whole = materialize(chosen.select("text").mapInArrow(_whole, "sid long, n long, whole binary"), "whole")
-        linked = links(rare_first(whole), whole)
-        made = rows.join(linked, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    live = materialize(live.withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "survivors")
+    chosen = texts.join(live, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
+    whole = materialize(chosen.select("text").mapInArrow(_whole, "sid long, n long, whole binary, sketch array<long>"), "whole")
+    if not whole.groupBy("sid").count().filter("count > 1").isEmpty():  # rows that repeat both id and text
+        once = materialize(whole.dropDuplicates(["sid"]), "once")
+        discard(whole)
+        whole = once
+    rare = rare_first(whole)
+    linked = links(rare, whole)
+    made = rows.join(linked, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
     made = materialize(made.select("doc_id", "key", "n", "label"), "labelled")
+    discard(found, live, whole, rare, linked)
     row = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("key").alias("k"))
     least = made.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(row).alias("rep"))
     out = made.join(least, "label", "left")
@@ -326,16 +379,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts have no shingles and are linked with nothing; ties and
     repeated rows fall in one component; null ids take part, but a component's
     id is its least id that is not null; an empty table gives an empty result.
+    Texts of any length are read whole. Only doc_id and text are read, so names
+    of other columns don't matter.
     """
     return near_groups(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stand for their component, and those without shingles."""
+    """The rows of ``docs`` that stand for their component, and all those without shingles.
+
+    The least id stands for a component (a null id only if there is no other,
+    of rows that repeat id and text one); odd rows fare as in
+    :func:`near_duplicates`, and all columns are kept whatever their names.
+    """
     out = near_groups(docs)
-    stay = out.filter(F.col("label").isNull() | (F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key"))))
-    stay = stay.select(F.col("doc_id").alias("id"), F.col("key").alias("k"), F.col("label").isNull().alias("bare")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", text_key(F.col("text")).alias("_key"))
-    rows = rows.join(stay, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("_key") == F.col("k")))
-    whole = rows.filter(~F.col("bare")).dropDuplicates(["doc_id", "_key"]).select("_row")
-    return rows.filter("bare").select("_row").unionByName(whole).select("_row.*")
+    bare = F.col("label").isNull()
+    stays = bare | (F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("key") == F.col("rep_key")))
+    verdicts = out.groupBy("doc_id", "key").agg(F.max(stays).alias("stays"), ((F.count("*") > 1) & ~F.max(bare)).alias("single"))
+    return keep_rows(docs, text_key(F.col("text")), verdicts)

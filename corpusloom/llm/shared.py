@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_written: list[str] = []
+_written: dict[str, None] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,16 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+        _written.pop(path, None)
+
+
 def _forget() -> None:
     """Remove this session's tables; a session that has ended already is left alone."""
     try:
         spark = SparkSession.getActiveSession()
-        if spark is None or spark.sparkContext._jsc is None:
-            return
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for path in _written:
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        if spark is not None and spark.sparkContext._jsc is not None:
+            _delete(spark, list(_written))
     except Exception:  # noqa: BLE001  the JVM may be gone at exit
         return
 
@@ -56,18 +60,52 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
     This cuts the lineage, so that a lost executor costs at most the running
-    stage, and it computes ``df`` once for all its readers.
+    stage, and it computes ``df`` once for all its readers. The size of the
+    files is known to the planner, which broadcasts a table only below
+    spark.sql.autoBroadcastJoinThreshold.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{label}"
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    folder = f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(f"{folder}/{label}")
+    _written[folder] = None
+    table = spark.read.schema(df.schema).parquet(f"{folder}/{label}")
+    table._corpusloom_folder = folder
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables made by :func:`materialize` that nothing reads any more; others are left alone."""
+    for table in tables:
+        folder = getattr(table, "_corpusloom_folder", None)
+        if folder in _written:
+            _delete(table.sparkSession, [folder])
+
 
+def parts(df: DataFrame, each: int = 32 << 20) -> int:
+    """Tasks that the files under ``df`` make at ``each`` bytes, and at least one for every core.
 
-def parts(df: DataFrame) -> int:
-    """Scan partitions of a table that was read from files: a measure of its size."""
-    return max(1, df.rdd.getNumPartitions())
+    Read from the plan's statistics, so nothing runs; leaves of unknown size don't count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return max(df.sparkSession.sparkContext.defaultParallelism, sum(x for x in sizes if x < 1 << 60) // each)
+
+
+def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    ``verdicts`` has one row for each (doc_id, key) of ``docs``: ``stays``, and
+    ``single`` where of several such rows only one stays. Only the rows that go
+    are joined with, so texts are not moved as long as those are few.
+    """
+    gone = materialize(verdicts.filter("not stays or single").select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), "stays"), "gone")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", key.alias("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k"))
+    kept = rows.join(gone, same, "left_anti").select("_row")
+    some = gone.filter("stays")
+    if not some.isEmpty():
+        kept = kept.unionByName(rows.join(some, same, "left_semi").dropDuplicates(["doc_id", "_key"]).select("_row"))
+    return kept.select("_row.*")
 
 
 def text_key(text: Column) -> Column:

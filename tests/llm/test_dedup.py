@@ -98,15 +98,40 @@ def brute(rows):
 
 
 @pytest.mark.parametrize("small", [True, False])
-def test_near_components(spark, small, monkeypatch):
-    """With and without the broadcast of the surviving sets."""
+def test_near_components(spark, small):
+    """With and without broadcasts."""
     if not small:
-        monkeypatch.setattr(ngram_join, "SMALL", -1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     rows = [r for r in ROWS if r[0] != 304]
+    try:
+        got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == brute(rows)
+
+
+def test_many_in_one_list(spark):
+    """A group of near copies of which some are linked only through others, and texts that share a passage without a link."""
+    rng, base, passage = np.random.default_rng(3), prose(1000, 120).split(), prose(1001, 60)
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in rng.choice(len(words), rng.integers(1, 5), replace=False):
+            words[at] = f"swap{i}at{at}"
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, passage + " " + prose(2000 + i, 20 + i % 25)) for i in range(400)]
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(frame(spark, rows)).collect())
     assert got == brute(rows)
 
 
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=300), st.sets(st.integers(0, 2**64 - 1), max_size=40))
+@settings(max_examples=40, deadline=None)
+def test_sketches_never_differ_by_more_than_the_sets(base, other):
+    a, b = (np.array(sorted(x), np.uint64) for x in (base, base ^ other))
+    apart = sum((x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) & (2**64 - 1)).bit_count() for x, y in zip(ngram_join.sketch(a), ngram_join.sketch(b), strict=True))
+    assert apart <= len(base ^ (base ^ other))
+
+
 def test_boundary_of_similarity(spark):
     """Links at exactly 0.8, none just below, over small sets where light pairs are made."""
     rows = []
