@@ -91,10 +91,13 @@ def _publisher(buckets: int):
         who, count = np.unique(owner[np.repeat(length > 1, length)], return_counts=True)
         sent, by = hashes[start], np.where(length > 1, 0, owner[start])
         bucket = (mix(sent) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        order = np.lexsort((by, bucket))  # an owner is named once for its hashes in a bucket
         sent, by, bucket = sent[order], by[order], bucket[order]
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        rows = [(int(bucket[a]), sent[a:b].tobytes(), by[a:b].tobytes(), None, None, None, None, None) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        rows = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            at = np.flatnonzero(np.concatenate([[True], by[a + 1 : b] != by[a : b - 1]]))
+            rows.append((int(bucket[a]), sent[a:b].tobytes(), by[a:b][at].tobytes(), np.diff(np.append(at, b - a)).astype(np.int32).tobytes(), None, None, None, None))
         if len(who):
             rows.append((int(who[0]) % buckets, None, who.tobytes(), count.astype(np.int64).tobytes(), None, None, None, None))
         yield from send(rows)
@@ -130,12 +133,12 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, o, c, *lines in zip(*(batch.column(x).to_pylist() for x in ("hashes", "owners", "counts", "ids", "keys", "ns", "sids")), strict=True):
             if lines[0] is not None:
                 yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in lines], pa.nulls(len(lines[0]), pa.int64())], names)
-            elif c is not None:
+            elif h is None:
                 who.append(np.frombuffer(o, np.int64))
                 counts.append(np.frombuffer(c, np.int64))
             else:
                 hashes.append(np.frombuffer(h, np.uint64))
-                owners.append(np.frombuffer(o, np.int64))
+                owners.append(np.repeat(np.frombuffer(o, np.int64), np.frombuffer(c, np.int32)))
     if hashes:
         h, o = np.concatenate(hashes), np.concatenate(owners)
         order = np.lexsort((o, h))
@@ -308,11 +311,12 @@ def links(rows: DataFrame, whole: DataFrame) -> DataFrame:
     discard(pairs, edges)
 
     marked = rows.withColumn("label", F.col("sid")) if labels is None else rows.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    each = entries(marked, "label", "sketch").withColumn("u", place)
+    each = entries(marked, "label").withColumn("u", place)
     hub = F.min(F.struct((~F.col("heavy")).alias("no"), "u", "sid")).alias("f")
     open_ = each.groupBy("kind", "key").agg(F.count("*").alias("m"), hub, F.min("label").alias("l"), F.max("label").alias("h"))
     open_ = open_.filter("l < h and (kind = 1 or not f.no)").select("kind", "key", "m", F.col("f.sid").alias("hub"))
-    state = each.join(open_, ["kind", "key"]).select("kind", "key", "sid", "n", "most", "heavy", "label", "u", "m", (F.col("sid") == F.col("hub")).alias("done"), *_words("a"))
+    state = each.join(open_, ["kind", "key"]).select("kind", "key", "sid", "n", "most", "heavy", "label", "u", "m", (F.col("sid") == F.col("hub")).alias("done"))
+    state = state.join(rows.select("sid", *_words("a")), "sid")
     written, turn, reach = None, 0, REACH
     while True:
         sums = state.groupBy("kind", "key", "label").agg(F.count("*").alias("c"))
