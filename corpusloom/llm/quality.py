@@ -2,8 +2,8 @@
 
 score = sigmoid(w0 + w.x + sum over pairs of <v_i, v_j> x_i x_j); the pairs are
 summed in linear time as half of (sum of v x) squared minus the sum of (v x)
-squared. The model is fitted on a bounded labelled sample on the driver; every
-whole text is scored on the executors.
+squared. The model is fitted on a bounded labelled sample in one task; every
+whole text is scored.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labels import held_out, training_texts
+from .labels import fitted, held_out, training_texts
 from .shared import texts_of
 
 WORDS, BINS, RANK = 1 << 13, 16, 8
 MODULUS, HELD, CUT = 5, 0, 0.3
-SAMPLE, LONGEST, EPOCHS, BATCH, STEP = 12_000, 200_000, 8, 256, 0.01
+SAMPLE, CHARACTERS, EPOCHS, BATCH, STEP = 12_000, 64_000_000, 8, 256, 0.01
 _UPPER, _DIGIT = slice(65, 91), slice(48, 58)
 _STOPS = [ord(c) for c in ".,;:?'\"-()"]
 _OTHER = [i for i in range(33, 127) if not chr(i).isalnum() and i not in _STOPS]
@@ -100,7 +100,7 @@ def balanced_cut(margins: np.ndarray, label: np.ndarray) -> float:
 
 
 def fit(texts: list[str], label: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Machine:
-    """Logistic loss, minibatches, Adam. The last fifth sets the cut, then all rows train on."""
+    """Logistic loss, minibatches, Adam. A fifth of the rows sets the cut and is not trained on."""
     rng, places = np.random.default_rng(seed), Places()
     rate = float(np.clip(label.mean() if len(label) else 0.5, 0.02, 0.98))
     model = Machine(math.log(rate / (1 - rate)), np.zeros(WIDTH, np.float32), rng.normal(0, 0.02, (WIDTH, RANK)).astype(np.float32))
@@ -151,14 +151,15 @@ def scorer(model: Machine):
     return score
 
 
-def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = MODULUS, held: int = HELD, most: int = SAMPLE, longest: int = LONGEST) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = MODULUS, held: int = HELD, most: int = SAMPLE, characters: int = CHARACTERS) -> DataFrame:
     """doc_id, held_out, score and predicted of every row.
 
-    Null text counts as empty and is scored like any; null ids are held out;
-    repeated rows get equal scores; without labels of both classes every score
-    is the base rate. Only doc_id and text are read.
+    Null text counts as empty and is scored like any; texts of any length are
+    read whole; null ids are held out; repeated rows and equal texts get equal
+    scores; without labels of both classes every score is the base rate; an
+    empty table gives an empty result. Only doc_id and text are read, so names
+    of other columns don't matter.
     """
-    sample = training_texts(docs, labels, label, modulus, held, most, longest)
-    model = fit(sample["text"].tolist(), sample["label"].to_numpy(np.float32))
+    model = Machine(**fitted(training_texts(docs, labels, label, modulus, held, most, characters), lambda texts, y: vars(fit(texts, y.astype(np.float32)))))
     rows = docs.select("doc_id", "text").mapInArrow(scorer(model), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id"), modulus, held).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))

@@ -1,9 +1,9 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
 Labels say which documents are toxic; tokens that occur in toxic documents far
-beyond chance get the tag 1 there, all others 0. A CRF learns from the tagged
-windows (emissions by hashed token and shape, and transitions). Forward and
-backward passes over every whole text give each token's marginal; a document's
+beyond chance get the tag 1 there, all others 0. A CRF learns from all tokens
+of the labelled texts (emissions by hashed token and shape, and transitions).
+Forward and backward passes over every whole text give each token's marginal; a document's
 score is a logistic function of their sum, maximum and density, and tokens of
 marginal one half or more are reported with their offsets.
 """
@@ -24,13 +24,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labels import held_out, training_texts
+from .labels import fitted, held_out, training_texts
 from .shared import texts_of
 
 TOKENS, SHAPES = 1 << 16, 4
 MODULUS, HELD, CUT = 4, 2, 0.3
-SAMPLE, LONGEST = 12_000, 200_000
-WINDOW, SEGMENT, OVERLAP = 20, 1024, 64
+SAMPLE, CHARACTERS = 12_000, 64_000_000
+#: Tokens of a training chain; cells of a block of chains that are tagged side by side, and the chains below which one goes alone.
+PIECE, CELLS, FEW = 64, 1 << 20, 8
+#: How far the gain of a tagged type may lie below what the best of all types reaches by chance (chosen on a fold of the training rows).
+LENIENT = 4
 _EDGE = ".,;:!?()[]\"'%*#$&|"
 
 
@@ -76,26 +79,32 @@ class Chain:
     tagged: int = 0
 
     def tag(self, documents: list[np.ndarray]) -> list[np.ndarray]:
-        """Marginals of each document's tokens.
+        """Marginals of each document's tokens, exact at any length.
 
-        Long documents go in segments that overlap: a chain forgets within a few
-        tokens. Segments of like length run side by side.
+        Documents of like length run side by side; where too few would, each
+        runs alone through the same recursion in plain floats.
         """
-        jobs = [(d, a, max(0, a - OVERLAP), min(len(x), a + SEGMENT + OVERLAP)) for d, x in enumerate(documents) for a in range(0, len(x), SEGMENT)]
-        jobs.sort(key=lambda j: j[3] - j[2])
-        out = [np.empty(len(x)) for x in documents]
-        moves = np.exp(self.moves)
-        table = np.exp(np.clip(self.emission, -30, 30))
-        for at in range(0, len(jobs), 512):
-            some = jobs[at : at + 512]
-            odds = np.full((some[-1][3] - some[-1][2], len(some)), 1e-13)
-            for k, (d, _, lo, hi) in enumerate(some):
-                odds[: hi - lo, k] = table[documents[d][lo:hi]]
-            # what lies beyond a chain's end must not speak of its last token: both tags count alike there
-            p = marginals_padded(odds, np.array([j[3] - j[2] for j in some]), moves)
-            for k, (d, a, lo, hi) in enumerate(some):
-                end = min(hi, a + SEGMENT)
-                out[d][a:end] = p[a - lo : end - lo, k]
+        out = [np.empty(0)] * len(documents)
+        order = sorted(range(len(documents)), key=lambda d: len(documents[d]))
+        moves, table = np.exp(self.moves), np.exp(np.clip(self.emission, -30, 30))
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end - at + 1) * len(documents[order[end]]) <= CELLS:
+                end += 1
+            some = order[at:end]
+            at = end
+            if len(some) < FEW:
+                for d in some:
+                    out[d] = alone(table[documents[d]].tolist(), moves.tolist())
+                continue
+            ends = np.array([len(documents[d]) for d in some])
+            odds = np.full((int(ends[-1]), len(some)), 1e-13)
+            for k, d in enumerate(some):
+                odds[: ends[k], k] = table[documents[d]]
+            p = marginals_padded(odds, ends, moves)
+            for k, d in enumerate(some):
+                out[d] = p[: ends[k], k]
         return out
 
     def score(self, p: np.ndarray) -> float:
@@ -112,7 +121,7 @@ def marginals_padded(odds: np.ndarray, ends: np.ndarray, moves: np.ndarray) -> n
     r = np.ones(chains)
     for t in range(steps):
         k = first[t]
-        r[k:] = (m01 + m11 * r[k:]) / (m00 + m10 * r[k:]) * odds[t, k:] if t else odds[t]
+        r[k:] = (m01 + m11 * r[k:]) / (m00 + m10 * r[k:]) * odds[t, k:] if t else odds[t, k:]
         forth[t] = r
     q = np.ones(chains)
     for t in range(steps - 1, -1, -1):
@@ -123,6 +132,22 @@ def marginals_padded(odds: np.ndarray, ends: np.ndarray, moves: np.ndarray) -> n
     return forth / (1 + forth)
 
 
+def alone(odds: list[float], moves: list[list[float]]) -> np.ndarray:
+    """As :func:`marginals` for one chain."""
+    (m00, m01), (m10, m11) = moves
+    forth, r = [], None
+    for o in odds:
+        r = o if r is None else (m01 + m11 * r) / (m00 + m10 * r) * o
+        forth.append(r)
+    q = 1.0
+    for t in range(len(odds) - 1, -1, -1):
+        forth[t] *= q
+        x = odds[t] * q
+        q = (m10 + m11 * x) / (m00 + m01 * x)
+    found = np.array(forth)
+    return found / (1 + found)
+
+
 def summary(p: np.ndarray) -> np.ndarray:
     if not len(p):
         return np.zeros(3)
@@ -133,9 +158,10 @@ def summary(p: np.ndarray) -> np.ndarray:
 def toxic_types(documents: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Token types that toxic documents hold far beyond chance.
 
-    The log-likelihood ratio of a type's share of toxic documents must exceed
-    what the best of all types would reach by chance, and most of the documents
-    that hold it must be toxic.
+    The log-likelihood ratio of a type's share of toxic documents must come near
+    what the best of all types would reach by chance (the chain unlearns tags
+    that clean texts speak against), and most of the documents that hold it must
+    be toxic.
     """
     rate = label.mean() if len(label) else 0.0
     if not 0 < rate < 1:
@@ -150,10 +176,15 @@ def toxic_types(documents: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     n, k = np.array([every[i] for i in kinds], float), np.array([toxic[i] for i in kinds], float)
     share = k / n
     gain = k * np.log(share / rate) + np.where(n > k, (n - k) * np.log(np.maximum((1 - share) / (1 - rate), 1e-12)), 0)
-    return kinds[(share > 0.5) & (gain > math.log(len(every)) + 2)]
+    return kinds[(share > 0.5) & (gain > math.log(len(every)) - LENIENT)]
+
 
+def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 6) -> Chain:
+    """A chain from whole labelled texts.
 
-def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 8) -> Chain:
+    Every token of every text trains, in chains of ``PIECE``; a clean text that
+    holds a tagged type speaks against that type.
+    """
     rng, places, model = np.random.default_rng(seed), Places(), Chain()
     documents = [np.fromiter(map(places.__getitem__, t.split()), np.int64) for t in texts]
     bad = np.zeros(TOKENS, bool)
@@ -165,32 +196,22 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 8) ->
     model.bias = math.log(rate / (1 - rate))
     if not model.tagged:
         return model
-    windows, size = [], 2 * WINDOW + 1
-    for x, y in zip(documents, label, strict=True):
-        tags = bad[x // SHAPES] if y else np.zeros(len(x), bool)
-        hits = np.flatnonzero(tags)
-        chosen = rng.permutation(hits)[:3].tolist() if len(hits) else rng.integers(0, max(len(x), 1), 2).tolist()
-        if not y and bad[x // SHAPES].any():  # either a label or a tag is wrong here
-            continue
-        for c in chosen:
-            a = max(0, min(c - WINDOW, len(x) - size))  # at an end the window moves inwards; a short text is its own
-            if len(x):
-                windows.append((x[a : a + size], tags[a : a + size]))
-    if not windows:
-        return model
-    lengths = np.array([len(w[0]) for w in windows])
-    xs, ys = np.zeros((size, len(windows)), np.int64), np.zeros((size, len(windows)))
-    for k, (x, tags) in enumerate(windows):
+    pieces = [(x[a : a + PIECE], bad[x[a : a + PIECE] // SHAPES] & bool(y)) for x, y in zip(documents, label, strict=True) for a in range(0, len(x), PIECE)]
+    lengths = np.array([len(p[0]) for p in pieces])
+    xs, ys = np.zeros((PIECE, len(pieces)), np.int32), np.zeros((PIECE, len(pieces)), bool)
+    for k, (x, tags) in enumerate(pieces):
         xs[: len(x), k], ys[: len(x), k] = x, tags
+    del pieces
     token, shape = np.full(TOKENS, -4.0), np.full(SHAPES, -3.0)
     grown_t, grown_s, grown_m = np.full(TOKENS, 1e-4), np.full(SHAPES, 1e-4), np.full((2, 2), 1e-4)
     for _ in range(rounds):
         order = rng.permutation(xs.shape[1])
-        for at in range(0, len(order), 256):
-            some = order[at : at + 256]
+        step = max(64, min(1024, len(order) // 32))
+        for at in range(0, len(order), step):
+            some = order[at : at + step]
             some = some[np.argsort(lengths[some], kind="stable")]
             x, y, ends = xs[:, some], ys[:, some], lengths[some]
-            inside = np.arange(size)[:, None] < ends
+            inside = np.arange(PIECE)[:, None] < ends
             odds = np.exp(np.clip(token[x // SHAPES] + shape[x % SHAPES], -30, 30))
             moves = np.exp(model.moves)
             p = marginals_padded(odds, ends, moves)
@@ -288,16 +309,16 @@ def scorer(model: Chain):
     return score
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = MODULUS, held: int = HELD, most: int = SAMPLE, longest: int = LONGEST, carry: bool = False) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = MODULUS, held: int = HELD, most: int = SAMPLE, characters: int = CHARACTERS, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score, predicted and the offending spans (character offsets) of every row.
 
-    With ``carry``, ``_row`` holds the row's columns as a struct. Null text
-    counts as empty; null ids are held out; repeated rows score alike; without
-    labels of both classes, or without any token that tells them apart, the
-    score is the base rate. An empty table gives an empty result.
+    With ``carry``, ``_row`` holds the row's columns as a struct, whatever their
+    names. Null text counts as empty; texts of any length are read whole; null
+    ids are held out; repeated rows and equal texts score alike; without labels
+    of both classes, or without any token that tells them apart, the score is
+    the base rate. An empty table gives an empty result.
     """
-    sample = training_texts(docs, labels, label, modulus, held, most, longest)
-    model = fit(sample["text"].tolist(), sample["label"].to_numpy(float))
+    model = Chain(**fitted(training_texts(docs, labels, label, modulus, held, most, characters), lambda texts, y: vars(fit(texts, y))))
     row = F.struct(*docs.columns) if carry else F.lit(None).cast("int")
     rows = docs.select("doc_id", "text", row.alias("_row"))
     made = T._parse_datatype_string("doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")

@@ -10,13 +10,6 @@ from hypothesis import strategies as st
 
 from corpusloom.llm import quality, toxicity
 
-LARGE = "/root/testdata/sf0.01"
-
-
-def table(rows):
-    return rows
-
-
 def test_sum_of_squares_is_the_sum_over_pairs():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=quality.WIDTH), rng.normal(size=(quality.WIDTH, 4)))
@@ -45,14 +38,30 @@ def test_marginals_are_those_of_all_taggings(n, data):
     assert np.allclose(toxicity.marginals_padded(both, np.array([n, n + 3]), moves)[:n, 0], on / total)
 
 
-def test_segments_forget():
+def test_long_texts_are_tagged_exactly():
+    """Chains side by side, chains alone and the plain recursion agree, for a fitted model too."""
     rng = np.random.default_rng(3)
-    model = toxicity.Chain(rng.normal(-2, 2, toxicity.TOKENS * toxicity.SHAPES), np.array([[0.0, -1.0], [-1.0, 2.0]]))
-    long_ = rng.integers(0, toxicity.TOKENS * toxicity.SHAPES, 5000)
-    (p,) = model.tag([long_])
-    whole = toxicity.marginals(np.exp(model.emission[long_])[:, None], np.exp(model.moves))[:, 0]
-    assert np.abs(p - whole).max() < 1e-6
-    assert [len(x) for x in model.tag([np.zeros(0, int), long_[:3]])] == [0, 3]
+    words = np.array([f"w{i}" for i in range(300)])
+    label = np.array([float(i % 3 == 0) for i in range(240)])
+    texts = [" ".join([*words[rng.integers(0, 300, 50)], *(["vile", "w7"] if y else [])]) for y in label]
+    made = toxicity.fit(texts, label)
+    for model in (made, toxicity.Chain(rng.normal(-2, 2, toxicity.TOKENS * toxicity.SHAPES), np.array([[0.0, -1.0], [-1.0, 2.0]]))):
+        long_ = [rng.integers(0, toxicity.TOKENS * toxicity.SHAPES, n) for n in (50_000, 0, 3, *[200_000] * 2, *[70] * 20)]
+        for x, p in zip(long_, model.tag(long_), strict=True):
+            whole = toxicity.marginals(np.exp(np.clip(model.emission[x], -30, 30))[:, None], np.exp(model.moves))[:, 0] if len(x) else np.zeros(0)
+            assert len(p) == len(x) and np.allclose(p, whole, rtol=1e-9, atol=1e-15)
+
+
+def test_clean_texts_speak_against_tags():
+    """A type that is tagged in toxic texts but stands in clean ones as well is believed less."""
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i}" for i in range(50)])
+    label = np.array([float(i % 4 == 0) for i in range(800)])
+    held = np.where(label == 1, True, rng.random(800) < 0.2)
+    texts = [" ".join([*words[rng.integers(0, 50, 30)], *(["vile"] if h else [])]) for h in held]
+    clear = [" ".join([*words[rng.integers(0, 50, 30)], *(["vile"] if y else [])]) for y in label]
+    at = toxicity.Places()["vile"]
+    assert toxicity.fit(texts, label).emission[at] < toxicity.fit(clear, label).emission[at]
 
 
 def metrics(rows, truth):
@@ -62,9 +71,9 @@ def metrics(rows, truth):
     return auc, (p == y).mean()
 
 
-@pytest.mark.parametrize("op,label,modulus,held,auc,accuracy", [(quality.quality, "quality", 5, 0, 0.95, 0.93), (toxicity.toxicity, "toxic", 4, 2, 0.75, 0.9)])
-def test_held_out_accuracy(spark, op, label, modulus, held, auc, accuracy):
-    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+@pytest.mark.parametrize("op,label,folder,modulus,held,auc,accuracy", [(quality.quality, "quality", "sf0.01", 5, 0, 0.95, 0.93), (toxicity.toxicity, "toxic", "sf0.1", 4, 2, 0.92, 0.95)])
+def test_held_out_accuracy(spark, op, label, folder, modulus, held, auc, accuracy):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{folder}/{t}.parquet") for t in ("documents", "labels"))
     rows = op(docs, labels).collect()
     assert len(rows) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == held) for r in rows)
