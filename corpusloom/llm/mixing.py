@@ -7,7 +7,7 @@ prefix-summed up to the budget. The document at the boundary is taken when that
 brings the sum nearer to the budget.
 
 The prefix sum is a radix descent, so no task sees a whole source: sums over
-256 key ranges find the range the budget ends in, sums over its 256 subranges
+key ranges find the range the budget ends in, sums over its 1,024 subranges
 narrow it, and only the rows left there are sorted. What comes out is one
 cutoff key per source; each row decides for itself by comparing its own key.
 """
@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize
+from .shared import WORD, discard, materialize
 
 SHARE, CAP, PATTERN, SEED = 1.5, 2, (5, 2, 1), "mix"
 #: Marks that spoiled text is strewn with; each costs a document four times its share.
 MARKS = "%*#$&|!"
-_RADIX, _DIGITS = 256, 2
+_DIGITS = 2
 
 
 def size_of(text: Column) -> Column:
@@ -69,9 +69,16 @@ def targets(sizes: DataFrame, share: float = SHARE, cap: float = CAP, pattern: t
 
 
 def _digit(level: int) -> Column:
-    """A digit of the key's place in (0, 1), which ``1 - exp(-key)`` spreads evenly."""
-    place = F.floor((1 - F.exp(-F.col("key"))) * (_RADIX**_DIGITS - 1)).cast("long")
-    return F.shiftright(place, 8 * (_DIGITS - 1 - level)) % _RADIX
+    """A digit of the key: its octave and sixteenth of it, then the 1,024th of that.
+
+    Octaves suit keys of any weight: an exponential key falls in none of them
+    with more than a quarter, so no pair of digits holds more than 0.002 % of
+    the rows of one weight.
+    """
+    key = F.greatest("key", F.lit(1e-300))
+    octave = F.floor(F.log2(key))
+    part = F.greatest(F.lit(0.0), F.least(F.lit(1.0) - 2.0**-40, key / F.pow(F.lit(2.0), octave) - 1)) * 16
+    return (octave * 16 + F.floor(part)).cast("long") if level == 0 else F.floor((part - F.floor(part)) * 1024).cast("long")
 
 
 def plan(rows: DataFrame, **rule) -> DataFrame:
@@ -105,7 +112,8 @@ def plan(rows: DataFrame, **rule) -> DataFrame:
     first_out = F.min(F.when(~taken, F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")))).alias("stop")
     ends = last.groupBy("source").agg(first_out, F.max(F.struct("key", F.coalesce("doc_id", F.lit(-(2**63))).alias("id"))).alias("end"))
     ends = ends.select(F.col("source").alias("s"), "stop", "end", F.lit(True).alias("cut"))
-    return goal.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget")
+    # written, so that its size is known and a source of any number of rows is joined where it lies
+    return materialize(goal.join(ends, F.col("source").eqNullSafe(F.col("s")), "left").drop("s", "budget"), "plan")
 
 
 def taken() -> Column:
@@ -115,31 +123,43 @@ def taken() -> Column:
     return F.col("size") * (F.col("epochs") + F.coalesce(again, F.lit(False)).cast("long"))
 
 
-def with_key(docs: DataFrame, seed: str = SEED) -> DataFrame:
+def _key(weight: Column | None, seed: str) -> Column:
+    return order_key(F.col("doc_id"), quality_weight(F.col("text")) if weight is None else weight, seed)
+
+
+def with_key(docs: DataFrame, seed: str = SEED, weight: Column | None = None) -> DataFrame:
     """doc_id, source, size and sampling key of each row."""
-    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), order_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"))
+    return docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), _key(weight, seed).alias("key"))
 
 
-def mix(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
+def mix(docs: DataFrame, seed: str = SEED, weight: Column | None = None, **rule) -> DataFrame:
     """Every row of ``docs`` with size, source_size, target and taken.
 
-    Null text has size 0 and is never taken; a null source is a source of its
-    own, ordered last; rows that repeat an id share its key and its fate; an
-    empty table gives an empty result. Only doc_id, source and text are read,
-    so clashing names among other columns don't matter.
+    ``weight`` is a positive column of ``docs``, such as a quality score; without
+    it, :func:`quality_weight` serves. Null text has size 0 and is never taken;
+    texts of any length are counted whole; a null source is a source of its own,
+    ordered last; rows that repeat an id share its key and its fate (equal keys
+    of different ids go by id); an empty table gives an empty result. Only
+    doc_id, source and text are read, so clashing names among other columns
+    don't matter.
     """
-    rows = materialize(with_key(docs, seed), "sizes")
+    rows = materialize(with_key(docs, seed, weight), "sizes")
     made = plan(rows, **rule)
     made = made.withColumnRenamed("source", "of")
     return rows.join(made, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", taken().alias("taken"))
 
 
-def repeat(docs: DataFrame, seed: str = SEED, **rule) -> DataFrame:
-    """The rows of the mix with all their columns, each as often as the mix takes it."""
+def repeat(docs: DataFrame, seed: str = SEED, weight: Column | None = None, **rule) -> DataFrame:
+    """The rows of the mix with all their columns, each as often as the mix takes it.
+
+    Odd rows fare as in :func:`mix`; rows without words are not in the mix.
+    """
     names = docs.columns
-    made = plan(materialize(with_key(docs, seed), "sizes"), **rule)
+    sizes = materialize(with_key(docs, seed, weight), "sizes")
+    made = plan(sizes, **rule)
+    discard(sizes)
     made = made.select(F.struct("source", "epochs", "stop", "end", "cut").alias("_plan"))
-    rows = docs.select(F.struct(*names).alias("_row"), size_of(F.col("text")).alias("size"), order_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"), F.col("doc_id"), F.col("source"))
+    rows = docs.select(F.struct(*names).alias("_row"), size_of(F.col("text")).alias("size"), _key(weight, seed).alias("key"), F.col("doc_id"), F.col("source"))
     rows = rows.join(made, F.col("source").eqNullSafe(F.col("_plan.source")))
     rows = rows.select("_row", "size", "key", "doc_id", F.col("_plan.epochs").alias("epochs"), F.col("_plan.stop").alias("stop"), F.col("_plan.end").alias("end"), F.col("_plan.cut").alias("cut"))
     times = F.when(F.col("size") > 0, F.floor(taken() / F.col("size"))).otherwise(0).cast("int")

@@ -34,6 +34,8 @@ SAMPLE, CHARACTERS = 12_000, 64_000_000
 PIECE, CELLS, FEW = 64, 1 << 20, 8
 #: How far the gain of a tagged type may lie below what the best of all types reaches by chance (chosen on a fold of the training rows).
 LENIENT = 4
+#: Marginals that count in a text's sum.
+FLOOR = 0.02
 _EDGE = ".,;:!?()[]\"'%*#$&|"
 
 
@@ -149,9 +151,10 @@ def alone(odds: list[float], moves: list[list[float]]) -> np.ndarray:
 
 
 def summary(p: np.ndarray) -> np.ndarray:
+    """Sum, maximum and density of the marginals; those below the floor, of which a long text has many, don't add up."""
     if not len(p):
         return np.zeros(3)
-    total = float(p.sum())
+    total = float(p[p > FLOOR].sum())
     return np.array([math.log1p(total), float(p.max()), math.log1p(100 * total / len(p))])
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import materialize
@@ -31,8 +31,11 @@ _CLEAN = {i: f"%{i:02X}" for i in [*range(33), 127]}
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, refers_to: int | None, copy: int = 0, date: str = "1970-01-01T00:00:00Z") -> tuple[str, bytes]:
-    """Record id and bytes of one record; a revisit carries headers only."""
-    ident = lambda page, n: f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{n}')}"
+    """Record id and bytes of one record; a revisit carries headers only.
+
+    ``copy`` numbers the records that share page and payload; the first stands for them in references.
+    """
+    ident = lambda page, n: f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}:{digest}:{n}')}"
     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <{ident(page_id, copy)}>", f"WARC-Date: {date}"]
     if url:
@@ -138,7 +141,7 @@ def _bundler(frame: int, limit: int):
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([now.close()], pa.binary()), pa.array([now.records], pa.int64())], ["bundle", "data", "records"])
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "digest", "refers_to")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "digest", "refers_to", "copy")), strict=True):
                 now.add(*record(*row))
                 if now.raw >= limit:
                     yield done()
@@ -171,19 +174,27 @@ def archive(pages: DataFrame, least: int = LEAST, frame: int = FRAME, bundle: in
     Of records whose payloads of at least ``least`` bytes are equal, the largest
     page_id is the response and the others revisit it. Null html is an empty
     payload, a null url leaves its header out; rows that repeat a page_id get a
-    record each, and so do null ids, which revisit but are never revisited;
-    an empty table makes no bundle. Digests alone are compared, so html moves
-    once, by page and not by digest: a payload with many copies makes no hot key.
+    record with an id of its own each, and so do null ids, which revisit but are
+    never revisited; very long html is one record in a frame of its own; an
+    empty table makes no bundle; other columns are not read, whatever their
+    names. Digests alone are compared, so html moves once, by page and not by
+    digest: a payload with many copies makes no hot key.
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    keys = rows.select("page_id", "digest", F.octet_length("payload").alias("n")).filter(F.col("n") >= least).drop("n")
-    keys = keys.groupBy("digest", "page_id").agg(F.count("*").alias("copies"))
-    keep = keys.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("pages")).filter("pages > 1").drop("pages")
-    again = keys.join(keep, "digest").filter(~F.col("page_id").eqNullSafe(F.col("keep")))
-    again = again.select(F.col("page_id").alias("id"), F.col("digest").alias("d"), F.col("keep").alias("refers_to"))
-    full = rows.join(again, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
-    full = full.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), F.octet_length("payload").alias("size"), "digest", "refers_to")
+    keys = rows.select("page_id", "digest", F.octet_length("payload").alias("n")).groupBy("digest", "page_id").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
+    keep = keys.filter(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("pages")).filter("pages > 1").drop("pages")
+    told = keys.join(keep, "digest", "left").withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    told = told.filter("refers_to is not null or copies > 1").select(F.col("page_id").alias("id"), F.col("digest").alias("d"), "refers_to", "copies")
+    told = materialize(told, "told")
+    full = rows.join(told, F.col("page_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("d")), "left")
+    full = full.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), F.octet_length("payload").alias("size"), "digest", "refers_to", "copies")
+    if told.filter("copies > 1").isEmpty():
+        full = full.select("*", F.lit(0).alias("copy")).drop("copies")
+    else:  # rows that share page and payload are numbered; only they move for it
+        order = Window.partitionBy("page_id", "digest").orderBy("url")
+        again = full.filter("copies > 1").withColumn("copy", F.row_number().over(order) - 1)
+        full = full.filter("copies is null or copies = 1").withColumn("copy", F.lit(0)).unionByName(again).drop("copies")
     return full.mapInArrow(_bundler(frame, bundle), "bundle string, data binary, records long")
 
 

@@ -1,6 +1,7 @@
 """Packing, mixing, fingerprints, archives and the pipeline."""
 
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprints, mixing, packing, warc
 from corpusloom.llm.queries import vocabulary
+from corpusloom.llm.shared import materialize
 
 
 def frame(spark, rows, columns="doc_id long, text string, source string, size string, key string, length string"):
@@ -192,22 +194,91 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
-def test_pipeline(spark, data):
+def test_every_record_is_found_by_its_id(spark):
+    """Rows that repeat a page and rows without an id have records, ids and references of their own."""
+    odd = [*PAGES, (11, "v", "s" * 1200), (11, "v", "t" * 1300), (None, "u", "r" * 1500), (None, "u", "t" * 1300), (None, None, None)]
+    pages = spark.createDataFrame(odd, "page_id long, url string, html string")
+    found = {}
+    for row in warc.archive(pages, frame=3000, bundle=6000).collect():
+        reader = warc.Reader(bytes(row["data"]))
+        for ident, *_ in reader.index():
+            assert ident not in found
+            found[ident] = warc.parse(reader.get(ident))
+            assert found[ident][0]["WARC-Record-ID"] == f"<{ident}>"
+    assert len(found) == len(odd)
+    kept = Counter((f.get("X-Page"), f["WARC-Payload-Digest"]) for f, _ in found.values())
+    assert kept == Counter((None if i is None else str(i), "sha1:" + hashlib.sha1((h or "").encode()).hexdigest()) for i, _, h in odd)
+    for fields, payload in found.values():
+        if fields["WARC-Type"] == "revisit":
+            to, whole = found[fields["WARC-Refers-To"].strip("<>")]
+            assert to["WARC-Payload-Digest"] == fields["WARC-Payload-Digest"] and to["X-Page"] == fields["X-Refers-To-Page"] and payload == b""
+            assert hashlib.sha1(whole).hexdigest() == fields["WARC-Payload-Digest"][5:]
+
+
+def test_no_range_of_keys_is_crowded(spark):
+    for weight in (1.0, 0.2, 0.05):
+        keys = spark.range(200_000).select(mixing.order_key(F.col("id"), F.lit(weight)).alias("key"))
+        bins = keys.groupBy(mixing._digit(0).alias("a"), mixing._digit(1).alias("b")).agg(F.count("*").alias("n"), F.min("key").alias("lo"), F.max("key").alias("hi")).orderBy("a", "b").collect()
+        assert max(r["n"] for r in bins) <= 200_000 // 1000 and all(x["hi"] <= y["lo"] for x, y in zip(bins, bins[1:], strict=False))
+
+
+def test_mixing_by_a_column(spark):
+    rows = spark.createDataFrame([(i, "w " * 20, "c" if i < 400 else f"b{i}", 1.0 if i % 2 else 0.1) for i in range(402)], "doc_id long, text string, source string, worth double")
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(rows, weight=F.col("worth")).collect()}
+    assert sum(got[i] for i in range(1, 400, 2)) > 1.5 * sum(got[i] for i in range(0, 400, 2))
+
+
+def test_pipeline(spark, tmp_path):
+    """Each stage against a plain version, on odd rows with clashing names; and an empty table."""
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{data}/documents.parquet")
-    rows = docs
-    kept = []
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        from corpusloom.llm.shared import materialize
-
-        rows = materialize(stage(spark, rows, data), f"test{k}")
-        if k < 4:
-            assert rows.columns == docs.columns
-            kept.append(rows.count())
-    assert docs.count() >= kept[0] > kept[1] >= kept[2] > 0
-    assert rows.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 1024").isEmpty()
-    assert rows.select("doc_id", "piece").count() == rows.count() > 0
+    from test_dedup import brute, shingles
+
+    rng = np.random.default_rng(12)
+    say = lambda n: " ".join(f"word{k}" for k in rng.integers(0, 400, n))
+    rows = [(None, None, None), (None, "no id", "a"), (1, "", "a"), (2, "short", None), (2, "short", None), (3, "x " * 4000, "b")]
+    base = say(80)
+    rows += [(10, base, "a"), (11, base + "  end", "b"), (12, base + "\tend", "b"), (13, base + " other", "a"), (13, base + " other", "a")]
+    rows += [(100 + i, say(40) + (" vile" if i % 3 == 0 else ""), "abc"[i % 3] if i % 7 else None) for i in range(90)]
+    folder = str(tmp_path / "data")
+    spark.createDataFrame([(i, t, s, 1, "k", 2, 3) for i, t, s in rows], "doc_id long, text string, source string, size int, key string, _row int, label int").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(100 + i, int(i % 3 == 0)) for i in range(0, 90)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    stages, made = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{folder}/documents.parquet")
+    columns, now = made.columns, Counter(rows)
+    for name, stage in list(stages.items())[:4]:
+        made = materialize(stage(spark, made, folder), "stage")
+        assert made.columns == columns
+        got = Counter((r["doc_id"], r["text"], r["source"]) for r in made.collect())
+        if name == "toxicity":
+            want = Counter({r: n for r, n in now.items() if "vile" not in (r[1] or "")})
+        elif name == "exact dedup":
+            want = {}
+            for r in sorted(now, key=lambda r: (r[0] is None, r[0] or 0)):
+                want.setdefault(" ".join(re.split(r"[\x20\x09-\x0D]+", r[1] or "")), r)
+            want = Counter(want.values())
+        elif name == "n-gram Jaccard join":
+            least = {(i, c) for i, _, c in brute([(r[0], r[1]) for r in now])}
+            want = Counter(r for r in now if not shingles(r[1]) or (r[0], r[0]) in least)
+        else:
+            words = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+            sizes, taken = Counter(), Counter()
+            for r in now:
+                sizes[r[2]] += words(r)
+            for r, n in got.items():
+                taken[r[2]] += words(r) * n
+            goal = shared_out(dict(sizes))
+            assert set(got) <= set(now) and all(abs(taken[s] - goal[s]) <= max(words(r) for r in now if r[2] == s) for s in goal)
+            want = got
+        assert got == want, name
+        now = got
+    packed = stages["best-fit packing"](spark, made, folder).collect()
+    whole = Counter((r["doc_id"], r["ids_crc32"], r["piece"]) for r in packed)
+    assert whole == Counter((r["doc_id"], r["ids_crc32"], r["piece"]) for r in corpus_pipeline.run(spark, folder).collect())
+    assert sum(r["piece"] == 0 for r in packed) == sum(now.values())
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
 
 
 def test_queries_have_their_columns(spark, data):
