@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's ``docs``. All but the last return
-the columns they were given.
+the columns they were given, whatever their names. Null and empty texts pass the
+filters that they don't offend; an empty table passes all stages as one. This
+module belongs to ``corpusloom.llm`` and goes with it.
 """
 
 from __future__ import annotations
@@ -12,32 +14,32 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from corpusloom.llm.queries import vocabulary
-from corpusloom.llm.shared import materialize
+from corpusloom.llm.shared import discard, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the toxicity chain does not predict to be toxic."""
+    """Rows that the toxicity chain does not predict to be toxic; rows that repeat an id or a text fare alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity(docs, labels, carry=True).filter(F.col("predicted") == 0).select("_row.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts."""
+    """One row of each group of equal texts (null as empty): that of the least id, a null id only if there is no other."""
     return exact_dedup.keep_first(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of linked texts; rows without words stay."""
+    """One row of each component of linked texts, that of the least id; rows without words stay."""
     return ngram_join.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix of sources takes them."""
+    """Rows as often as the mix of sources takes them; a null source is one of its own, rows without words go."""
     return mixing.repeat(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all rows in sequences of 1024 tokens."""
+    """The pieces of all rows in sequences of 1024 tokens; texts of any length are cut, never dropped."""
     return packing.pack(docs, vocabulary())
 
 
@@ -57,7 +59,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows for the documents of a data folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialize(docs, f"stage{k}")
+            discard(before)
     return docs
