@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import GEAR, in_chunks, spans
+from .hashing import GEAR, digests, halves, in_chunks
 from .shared import materialize, parts, text_key, texts_of
 
 MEAN, LONGEST, LEAST = 40, 1024, 120
@@ -43,7 +43,7 @@ def cuts(raw: np.ndarray, mean: int = MEAN) -> np.ndarray:
 
 
 def chunk(parts_: list[bytes], mean: int = MEAN, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest, document, start and length of every chunk of the byte strings."""
+    """Digest (128 bits), document, start and length of every chunk of the byte strings."""
     pad = bytes(_PAD)  # of gear value 0, so that no hash looks back into another document
     raw = np.frombuffer(pad + pad.join(parts_) + pad, np.uint8)
     size = np.array([len(p) for p in parts_], np.int64)
@@ -60,7 +60,7 @@ def chunk(parts_: list[bytes], mean: int = MEAN, longest: int = LONGEST) -> tupl
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         doc, low, high = np.repeat(doc, pieces), np.repeat(start, pieces) + nth * longest, np.repeat(end, pieces)
         start, end = low, np.minimum(low + longest, high)
-    return spans(raw, start, end), doc, start - begin[doc], end - start
+    return digests(raw.tobytes(), start, end), doc, start - begin[doc], end - start
 
 
 _SENT = "bucket int, digests binary, docs binary, starts binary, sizes binary, many binary, ids array<long>, keys array<long>"
@@ -69,7 +69,8 @@ _FLAG = "doc_id long, key long, start int, size int, later boolean"
 
 def _publisher(buckets: int, mean: int, longest: int):
     """Chunks by bucket of their digest. Of a digest's copies within a batch the first
-    travels (marked if there are more); the others are already known to be repeats."""
+    travels (marked if there are more); the others are already known to be repeats and
+    go by document, so that a line found everywhere makes no bucket large."""
 
     def publish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in _SENT.split(", ")]
@@ -87,13 +88,15 @@ def _publisher(buckets: int, mean: int, longest: int):
             if not found:
                 continue
             digest, doc, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.argsort(digest, kind="stable")
+            low, high = halves(digest)
+            by = np.lexsort((high, low))
             digest, doc, start, size = digest[by], doc[by], start[by], size[by]
             first = np.concatenate([[True], digest[1:] != digest[:-1]])[: len(digest)]
             many = np.zeros(len(digest), bool)
             many[:-1] = first[:-1] & ~first[1:]
             rows = []
-            bucket = (digest % np.uint64(buckets)).astype(np.int64)
+            home = np.array([(i or 0) + k for i, k in zip(ids, keys, strict=True)], dtype=object) % buckets
+            bucket = np.where(first, (low[by] % np.uint64(buckets)).astype(np.int64), home.astype(np.int64)[doc])
             for known in (False, True):
                 keep = np.flatnonzero(first != known)
                 keep = keep[np.argsort(bucket[keep], kind="stable")]
@@ -121,18 +124,19 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated chunks of the buckets in this partition, and whether an earlier one exists."""
     held = []
     for batch in batches:
-        for digests, docs, starts, sizes, many, ids, keys in zip(*(batch.column(c).to_pylist() for c in ("digests", "docs", "starts", "sizes", "many", "ids", "keys")), strict=True):
+        for found, docs, starts, sizes, many, ids, keys in zip(*(batch.column(c).to_pylist() for c in ("digests", "docs", "starts", "sizes", "many", "ids", "keys")), strict=True):
             at = np.frombuffer(docs, np.int32)
             none = np.array([x is None for x in ids])[at]
             row = (np.array([x or 0 for x in ids], np.int64)[at], none, np.array(keys, np.int64)[at], np.frombuffer(starts, np.int32), np.frombuffer(sizes, np.int32))
-            if digests:
-                held.append((np.frombuffer(digests, np.uint64), *row, np.frombuffer(many, bool)))
+            if found:
+                held.append((np.frombuffer(found, "S16"), *row, np.frombuffer(many, bool)))
             else:
                 yield from _flags(*row, np.ones(len(at), bool))
     if not held:
         return
     digest, ids, none, keys, start, size, many = (np.concatenate(x) for x in zip(*held, strict=True))
-    by = np.lexsort((start, keys, ids, ~none, digest))
+    low, high = halves(digest)
+    by = np.lexsort((start, keys, ids, ~none, high, low))
     digest, ids, none, keys, start, size, many = (x[by] for x in (digest, ids, none, keys, start, size, many))
     same = np.concatenate([[False], (digest[1:] == digest[:-1]) & (ids[1:] == ids[:-1]) & (none[1:] == none[:-1]) & (keys[1:] == keys[:-1]) & (start[1:] == start[:-1])])
     if same.any():  # a row that is there twice is one document
@@ -181,13 +185,15 @@ def chunk_dedup(docs: DataFrame, mean: int = FINE, longest: int = LONGEST, least
     """doc_id, n_bytes, n_repeated, n_removed, n_spans, kept_sha256 and spans of every row.
 
     n_repeated counts the bytes of repeats wherever they stand, n_removed those
-    of stretches of at least ``least`` bytes that stood earlier. Null text counts as empty; null ids come first in the
+    of stretches of at least ``least`` bytes that stood earlier. Null text counts
+    as empty; texts of any length are read whole; null ids come first in the
     order; rows that repeat id and text are one document and get equal results;
-    an empty table gives an empty result.
+    an empty table gives an empty result. Only doc_id and text are read, so names
+    of other columns don't matter.
     """
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
-    buckets = max(8, parts(docs))
-    sent = texts.mapInArrow(_publisher(buckets, mean, longest), _SENT).repartition(buckets, "bucket")
+    buckets = 2 * parts(docs)
+    sent = texts.mapInArrow(_publisher(buckets, mean, longest), _SENT).repartitionById(buckets, "bucket")
     flags = materialize(sent.mapInArrow(_resolve, _FLAG), "flags")
     listed = flags.groupBy(F.col("doc_id").alias("of_id"), F.col("key").alias("of_key")).agg(F.array_sort(F.collect_set(F.struct("start", "size", "later"))).alias("flags"))
     rows = texts.join(listed, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left")

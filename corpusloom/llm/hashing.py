@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _M64 = (1 << 64) - 1
@@ -61,6 +63,26 @@ def spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def digests(raw: bytes, start: np.ndarray, end: np.ndarray, salt: np.ndarray | None = None) -> np.ndarray:
+    """128-bit digests of raw[start:end], with a number each, as byte strings: for what equality alone decides."""
+    view, blake = memoryview(raw), hashlib.blake2b
+    if salt is None:
+        made = [blake(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    else:
+        made = [blake(view[a:b], digest_size=16, salt=x.to_bytes(8, "little")).digest() for a, b, x in zip(start.tolist(), end.tolist(), salt.tolist(), strict=True)]
+    return np.frombuffer(b"".join(made), "S16")
+
+
+def halves(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two 64-bit halves of 128-bit digests; they sort and compare faster."""
+    both = np.frombuffer(digest.tobytes(), np.uint64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
+#: Words from this many bytes on are hashed by a digest: long words can be made to collide under a polynomial.
+LONG_WORD = 64
+
+
 def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of ``size`` words.
 
@@ -75,6 +97,8 @@ def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
     bounds = np.cumsum([1] + [len(p) + 1 for p in parts])
     first = np.searchsorted(start, bounds)
     words = spans(raw, start, end)
+    if len(long_ := np.flatnonzero(end - start >= LONG_WORD)):
+        words[long_] = halves(digests(raw.tobytes(), start[long_], end[long_]))[0]
     out = []
     if len(words) >= size:
         rolled = np.zeros(len(words) - size + 1, np.uint64)

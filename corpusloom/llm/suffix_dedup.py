@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .hashing import in_chunks, mix, prefixes
+from .hashing import digests, halves, in_chunks, mix, prefixes
 from .shared import materialize, parts, row_columns, texts_of
 
 WIDTH, GRAM = 200, 32
@@ -36,17 +36,18 @@ _POS = np.uint64(0xFFFFFFFF)
 
 
 def runs(parts_: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one anchor: common, whole (hashes), doc, start, count, off.
+    """Runs of windows with one anchor: common (64-bit hash), whole (128-bit digest), doc, start, count, off.
 
     ``off`` is the anchor's distance from the run's start. Runs end in the middle
     of an anchor's reach, so that what their windows share is longer.
     """
-    raw = np.frombuffer(b"".join(parts_), np.uint8)
+    joined = b"".join(parts_)
+    raw = np.frombuffer(joined, np.uint8)
     size = np.array([len(p) for p in parts_], np.int64)
     begin = np.cumsum(size) - size
     none = np.zeros(0, np.int64)
     if len(raw) < width:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none, none
+        return np.zeros(0, np.uint64), np.zeros(0, "S16"), none, none, none, none
     sums, down = prefixes(raw)
     reach = width - gram + 1
     grams = mix((sums[gram:] - sums[:-gram]) * down[: len(raw) - gram + 1])
@@ -67,7 +68,7 @@ def runs(parts_: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]) | (half[1:] != half[:-1]) | ~valid[:-1]
     start = np.flatnonzero(new & valid)
     if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), none, none, none, none
+        return np.zeros(0, np.uint64), np.zeros(0, "S16"), none, none, none, none
     ends = np.cumsum(valid)
     stop = np.append(start[1:], windows)
     count = ends[stop - 1] - ends[start] + 1
@@ -78,7 +79,7 @@ def runs(parts_: list[bytes], width: int = WIDTH, gram: int = GRAM) -> tuple[np.
     span = lambda a, b: (sums[b] - sums[a]) * down[a]
     common = mix(span(low, high) ^ half.astype(np.uint64))
     off = anchor - start
-    whole = mix(span(start, start + count - 1 + width) + (off * 4096 + count).astype(np.uint64))
+    whole = digests(joined, start, start + count - 1 + width, off * 4096 + count)
     return common, whole, doc, start - begin[doc], count, off
 
 
@@ -157,7 +158,7 @@ def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarr
 
 
 _SENT = "bucket int, common binary, whole binary, docs binary, starts binary, counts binary, offs binary, many binary, ids array<long>, keys array<long>"
-_FOUND = "at long, key long, start int, count int, off int, common long, whole long, known boolean"
+_FOUND = "at long, key long, start int, count int, off int, common long, known boolean"
 
 
 def _publisher(buckets: int, width: int):
@@ -178,13 +179,14 @@ def _publisher(buckets: int, width: int):
             if not found:
                 continue
             common, whole, doc, start, count, off = (np.concatenate(x) for x in zip(*found, strict=True))
-            by = np.lexsort((whole, common))
+            by = np.lexsort((*halves(whole), common))
             common, whole, doc, start, count, off = (x[by] for x in (common, whole, doc, start, count, off))
             first = np.concatenate([[True], (common[1:] != common[:-1]) | (whole[1:] != whole[:-1])])
             many = np.zeros(len(first), bool)
             many[:-1] = first[:-1] & ~first[1:]
-            rows, bucket = [], (common % np.uint64(buckets)).astype(np.int64)
-            for known in (False, True):  # copies beyond the first are repeats, as the marked first one is
+            home = np.array([i + k for i, k in zip(ids, keys, strict=True)], dtype=object) % buckets
+            rows, bucket = [], np.where(first, (common % np.uint64(buckets)).astype(np.int64), home.astype(np.int64)[doc])
+            for known in (False, True):  # copies beyond the first are repeats, as the marked first one is, and go by document
                 keep = np.flatnonzero(first != known)
                 keep = keep[np.argsort(bucket[keep], kind="stable")]
                 if not len(keep):
@@ -195,7 +197,7 @@ def _publisher(buckets: int, width: int):
                     k = keep[a:b]
                     used, place = np.unique(doc[k], return_inverse=True)
                     pack = lambda v, t: v[k].astype(t).tobytes()  # noqa: B023, E731
-                    rows.append((int(at[a]), b"" if known else pack(common, np.uint64), b"" if known else pack(whole, np.uint64), place.astype(np.int32).tobytes(), pack(start, np.int32), pack(count, np.int16), pack(off, np.int16), many[k].tobytes(), [ids[i] for i in used], [keys[i] for i in used]))
+                    rows.append((int(at[a]), b"" if known else pack(common, np.uint64), b"" if known else pack(whole, "S16"), place.astype(np.int32).tobytes(), pack(start, np.int32), pack(count, np.int16), pack(off, np.int16), many[k].tobytes(), [ids[i] for i in used], [keys[i] for i in used]))
             for i in range(0, len(rows), 16):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 16], strict=True), kinds, strict=True)], names)
 
@@ -203,10 +205,10 @@ def _publisher(buckets: int, width: int):
 
 
 def _emit(cols: list[np.ndarray], known: np.ndarray) -> Iterator[pa.RecordBatch]:
-    ids, keys, start, count, off, common, whole = cols
+    ids, keys, start, count, off, common = cols
     for i in range(0, len(ids), 100_000):
         s = slice(i, i + 100_000)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(keys[s]), pa.array(start[s], pa.int32()), pa.array(count[s], pa.int32()), pa.array(off[s], pa.int32()), pa.array(common[s].view(np.int64)), pa.array(whole[s].view(np.int64)), pa.array(known[s])], ["at", "key", "start", "count", "off", "common", "whole", "known"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[s]), pa.array(keys[s]), pa.array(start[s], pa.int32()), pa.array(count[s], pa.int32()), pa.array(off[s], pa.int32()), pa.array(common[s].view(np.int64)), pa.array(known[s])], ["at", "key", "start", "count", "off", "common", "known"])
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,14 +219,14 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.frombuffer(docs, np.int32)
             row = (np.array(ids, np.int64)[at], np.array(keys, np.int64)[at], np.frombuffer(starts, np.int32), np.frombuffer(counts, np.int16), np.frombuffer(offs, np.int16))
             if common:
-                held.append((np.frombuffer(common, np.uint64), np.frombuffer(whole, np.uint64), *row, np.frombuffer(many, bool)))
+                held.append((np.frombuffer(common, np.uint64), np.frombuffer(whole, "S16"), *row, np.frombuffer(many, bool)))
             else:
                 zero = np.zeros(len(at), np.uint64)
-                yield from _emit([*row, zero, zero], np.ones(len(at), bool))
+                yield from _emit([*row, zero], np.ones(len(at), bool))
     if not held:
         return
     common, whole, ids, keys, start, count, off, many = (np.concatenate(x) for x in zip(*held, strict=True))
-    by = np.lexsort((whole, common))
+    by = np.lexsort((*halves(whole), common))
     common, whole, ids, keys, start, count, off, many = (x[by] for x in (common, whole, ids, keys, start, count, off, many))
     first = np.concatenate([[True], (common[1:] != common[:-1]) | (whole[1:] != whole[:-1])])
     head = np.flatnonzero(first)
@@ -236,7 +238,7 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mixed = np.repeat((kinds > 1) & ~np.logical_and.reduceat(full, np.flatnonzero(group)), length)
     ask = mixed & first
     for keep, known in ((full, True), (ask & ~full, False)):
-        yield from _emit([x[keep] for x in (ids, keys, start, count, off, np.where(ask, common, 0).astype(np.uint64), whole)], np.full(int(keep.sum()), known))
+        yield from _emit([x[keep] for x in (ids, keys, start, count, off, np.where(ask, common, 0).astype(np.uint64))], np.full(int(keep.sum()), known))
 
 
 def _fetch(width: int):
@@ -311,14 +313,16 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans of every row.
 
     Removed is each byte covered by a string of ``width`` bytes that also starts
-    elsewhere, in any document. Null text counts as empty; rows that repeat id
-    and text are copies of each other like any; null ids are ids of their own;
-    an empty table gives an empty result. Whole texts move once, by id.
+    elsewhere, in any document. Null text counts as empty; texts of any length
+    are read whole; rows that repeat id and text are copies of each other like
+    any; null ids are ids of their own; an empty table gives an empty result.
+    Only doc_id and text are read, so names of other columns don't matter. Whole
+    texts move once, by id.
     """
     texts = row_columns(docs)
-    buckets = max(8, 2 * parts(docs))
+    buckets = 2 * parts(docs)
     copies = texts.groupBy("at", "key").agg(F.count("*").alias("copies"), F.max("doc_id").alias("doc_id"))
-    sent = texts.select("at", "key", "text").mapInArrow(_publisher(buckets, width), _SENT).repartition(buckets, "bucket")
+    sent = texts.select("at", "key", "text").mapInArrow(_publisher(buckets, width), _SENT).repartitionById(buckets, "bucket")
     found = materialize(sent.mapInArrow(_resolve, _FOUND), "runs")
     asked = found.filter("common <> 0").groupBy("at", "key").agg(F.collect_list(F.struct("common", "off", "known", "start", "count")).alias("asked"))
     # both joins of the texts are on the same columns, so they read one exchange

@@ -1,6 +1,7 @@
 """Exact, near and substring deduplication against brute force."""
 
 import hashlib
+import itertools
 import re
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import chunk_dedup, exact_dedup, hashing, ngram_join, suffix_dedup
 from corpusloom.llm.components import components
+from corpusloom.llm.shared import text_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, label string, at string, n long"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -262,6 +264,55 @@ def test_chunk_repeats_of_51_words(spark):
     assert all(got[i]["n_removed"] == 0 for i in range(400))
 
 
+def test_texts_that_collide_under_polynomials(spark):
+    """The Thue-Morse string and its complement agree in any polynomial modulo 2**64; nothing may be removed for it."""
+    one = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    assert hashing.spans(np.frombuffer((one + two).encode(), np.uint8), np.array([0, 2048]), np.array([2048, 4096])).tolist()[0] == hashing.spans(np.frombuffer(two.encode(), np.uint8), np.array([0]), np.array([2048])).tolist()[0]
+    assert len(set(hashing.digests((one + two).encode(), np.array([0, 2048]), np.array([2048, 4096])).tolist())) == 2
+    assert hashing.shingle_sets([one])[0].tolist() != hashing.shingle_sets([two])[0].tolist()
+
+
+def plain_chunks(rows):
+    """chunk_dedup's rows by its definition, over whole texts held in a dictionary of chunks."""
+    texts = sorted({(i is not None, i or 0, t or "", i) for i, t in rows}, key=lambda r: (*r[:2], chunk_key(r[2])))
+    cut, seen, count = {}, {}, Counter()
+    for row in texts:
+        raw, at, h = row[2].encode(), 0, 0
+        for k, b in enumerate(raw):
+            h = ((h << 1) + int(chunk_dedup._G32[b])) & 0xFFFFFFFF
+            if h < 2**32 // chunk_dedup.FINE or k + 1 - at == chunk_dedup.LONGEST or k + 1 == len(raw):
+                cut.setdefault(row, []).append((at, k + 1))
+                count[raw[at : k + 1]] += 1
+                seen.setdefault(raw[at : k + 1], (row, at))
+                at = k + 1
+    out = {}
+    for row in texts:
+        raw, runs = row[2].encode(), []
+        for a, b in cut.get(row, []):
+            if count[raw[a:b]] > 1:
+                item = (a, b, seen[raw[a:b]] != (row, a))
+                runs[-1].append(item) if runs and runs[-1][-1][1] == a else runs.append([item])
+        runs = [r for r in runs if r[-1][1] - r[0][0] >= chunk_dedup.LEAST]
+        gone = np.zeros(len(raw), bool)
+        for r in runs:
+            for later, some in itertools.groupby(r, key=lambda x: x[2]):
+                part = list(some)
+                if later and part[-1][1] - part[0][0] >= chunk_dedup.LEAST:
+                    gone[part[0][0] : part[-1][1]] = True
+        kept = hashlib.sha256(np.frombuffer(raw, np.uint8)[~gone].tobytes()).hexdigest()
+        out[(row[3], row[2])] = (row[3], len(raw), sum(r[-1][1] - r[0][0] for r in runs), int(gone.sum()), len(runs), kept)
+    return Counter(out[(i, t or "")] for i, t in rows)
+
+
+def test_chunks_by_their_definition(spark):
+    rows = [r for r in ROWS if r[0] != 304 and "\0" not in (r[1] or "")]
+    keys = {r["text"] or "": r["key"] for r in frame(spark, rows).select("text", text_key(F.col("text")).alias("key")).collect()}
+    globals()["chunk_key"] = keys.__getitem__
+    got = Counter(tuple(r[c] for c in ("doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans", "kept_sha256")) for r in chunk_dedup.chunk_dedup(frame(spark, rows)).collect())
+    assert got == plain_chunks(rows)
+
+
 def test_shingle_sets_agree_with_their_definition():
     texts = ["", None or "", "one", "A b\tc\x0bd", "a B c d e", "a b c d e f a b c d e", "é Ü a b c d", prose(4, 50)]
     sets = hashing.shingle_sets(texts)
