@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -64,10 +64,27 @@ def exhibit_rows(primaries: DataFrame, headers: DataFrame, archives: str, prefix
     return named, rows.filter("filename is null").select("accession", "ticker", "type", "sequence")
 
 
+def _order() -> list[Column]:
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return [blank("ticker"), blank("filing_date").desc(), blank("accession"), F.when(F.col("doc_type") == "primary", 0).otherwise(1), blank("document")]
+
+
 def manifest_order(manifest: DataFrame) -> DataFrame:
     """Total order of a manifest: ticker, newest filing, accession, primary first, document."""
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    return manifest.orderBy(blank("ticker"), blank("filing_date").desc(), blank("accession"), F.when(F.col("doc_type") == "primary", 0).otherwise(1), blank("document"))
+    return manifest.orderBy(*_order())
+
+
+def placed(manifest: DataFrame) -> DataFrame:
+    """``manifest`` with each row's ``place`` in that order, from 1.
+
+    Rows are numbered among those of their ticker and date; only the counts, a
+    row a ticker and date, are summed up in one place.
+    """
+    rows = manifest.withColumns({"_t": F.coalesce("ticker", F.lit("")), "_d": F.coalesce("filing_date", F.lit(""))})
+    before = Window.orderBy("_t", F.desc("_d")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_t", "_d").agg(F.count("*").alias("_n")).select("_t", "_d", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    inside = rows.withColumn("_i", F.row_number().over(Window.partitionBy("_t", "_d").orderBy(*_order())))
+    return inside.join(counts, ["_t", "_d"]).withColumn("place", F.col("_b") + F.col("_i")).drop("_t", "_d", "_b", "_i")
 
 
 def counters(manifest: DataFrame, headers: DataFrame | None = None) -> dict[str, DataFrame]:

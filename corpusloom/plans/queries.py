@@ -79,7 +79,7 @@ _BM25 = f"""
     bm AS (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM sc)"""
 _DENSE = """
     v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
-    de AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_inner_product(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id < 26),
+    de AS (SELECT a.vec_id AS qid, b.vec_id AS doc_id, list_inner_product(a.e, b.e) AS score FROM v a, v b WHERE a.vec_id % 20 = 0),
     dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM de)"""
 
 
@@ -114,7 +114,7 @@ def _vectors(spark, d):
 
 
 def _asked(spark, d):
-    return _vectors(spark, d).filter("row < 26").withColumnRenamed("row", "qid")
+    return _vectors(spark, d).filter("row % 20 = 0").withColumnRenamed("row", "qid")
 
 
 @query(f"WITH {_DENSE} SELECT qid, rank, doc_id AS vec_id, round(score, 5) AS score FROM dr WHERE rank <= 20")
@@ -133,10 +133,10 @@ def rrf_two_rankings(spark, d):
 
 
 @query(f"""WITH {_BM25}, {_DENSE}, f AS (SELECT qid, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS s
-        FROM (SELECT qid, doc_id, rank FROM dr UNION ALL SELECT qid, doc_id, rank FROM bm WHERE qid < 26) GROUP BY ALL)
+        FROM (SELECT qid, doc_id, rank FROM dr UNION ALL SELECT qid, doc_id, rank FROM bm WHERE qid % 20 = 0) GROUP BY ALL)
     SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY s DESC, doc_id) AS rank, round(s, 8) AS score FROM f) WHERE rank <= 20""")
 def hybrid_top20(spark, d):
-    q = _questions(spark, d).filter("qid < 26")
+    q = _questions(spark, d).filter("qid % 20 = 0")
     index = lexical.build_for(_docs(spark, d), q)
     return fusion.hybrid(index, q, _vectors(spark, d), _asked(spark, d), 20).select("qid", F.col("row").alias("doc_id"), "rank", F.round("score", 8).alias("score"))
 
@@ -223,14 +223,14 @@ def recall_by_type(spark, d):
 
 
 def _sources(spark, d):
-    """Members of a question: the first two sources that hold its passage."""
+    """Members of a question: the sources that hold its passage."""
     held = _resolutions(spark, d).select("qid", F.explode("rows").alias("row")).join(_chunks(spark, d).select("row", F.col("accession").alias("a")), "row")
-    listed = held.groupBy("qid").agg(F.slice(F.array_sort(F.collect_set("a")), 1, 2).alias("s"))
+    listed = held.groupBy("qid").agg(F.array_sort(F.collect_set("a")).alias("s"))
     return listed.select("qid", F.posexplode("s").alias("member", "accession"))
 
 
 @query(rf"""WITH {_BM25}, {_RESOLVE}, hit AS (SELECT qid, source, rank FROM bm JOIN documents USING (doc_id) WHERE rank <= 20),
-    s AS (SELECT qid, list_slice(list_sort(list(DISTINCT a)), 1, 2) AS l FROM m WHERE member = 0 GROUP BY qid),
+    s AS (SELECT qid, list_sort(list(DISTINCT a)) AS l FROM m WHERE member = 0 GROUP BY qid),
     mm AS (SELECT qid, unnest(l) AS source FROM s), r AS (SELECT mm.qid, mm.source, min(rank) AS rank FROM mm LEFT JOIN hit USING (qid, source) GROUP BY ALL)
     SELECT qid, bool_and(coalesce(rank <= 5, false)) AS recall_at_5, count(*) FILTER (rank <= 5) AS covered_at_5, bool_and(coalesce(rank <= 20, false)) AS recall_at_20,
            count(*) FILTER (rank <= 20) AS covered_at_20, count(*) AS members_total FROM r GROUP BY qid""")
@@ -314,15 +314,13 @@ def duplicate_keys(spark, d):
 
 
 @query("""SELECT accession, row_number() OVER (ORDER BY ticker, filing_date DESC, accession, CASE WHEN doc_type = 'primary' THEN 0 ELSE 1 END, document) AS place FROM
-    (SELECT o_orderpriority AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, o_orderkey::VARCHAR AS accession, CASE WHEN o_orderkey % 2 = 0 THEN 'primary' ELSE 'exhibit' END AS doc_type, 'd' AS document FROM orders WHERE o_custkey < 200)""")
+    (SELECT o_orderpriority AS ticker, strftime(o_orderdate, '%Y-%m-%d') AS filing_date, o_orderkey::VARCHAR AS accession, CASE WHEN o_orderkey % 2 = 0 THEN 'primary' ELSE 'exhibit' END AS doc_type, 'd' AS document FROM orders)""")
 def manifest_order(spark, d):
-    rows = _t(spark, d, "orders").filter("o_custkey < 200").select(
+    rows = _t(spark, d, "orders").select(
         F.col("o_orderpriority").alias("ticker"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("filing_date"), F.col("o_orderkey").cast("string").alias("accession"),
         F.when(F.col("o_orderkey") % 2 == 0, "primary").otherwise("exhibit").alias("doc_type"), F.lit("d").alias("document"),
     )
-    # the order becomes a column so that it can be compared; a control table of this kind fits one task
-    sorted_ = dc.manifest_order(rows).coalesce(1)
-    return sorted_.select("accession", (F.monotonically_increasing_id() + 1).alias("place"))
+    return dc.placed(rows).select("accession", "place")
 
 
 @query("""SELECT n_regionkey AS region, i AS seq, names[i + 1] AS name, keys[i + 1] AS nationkey FROM
@@ -365,11 +363,11 @@ def exhibit_labels(spark, d):
     return rows.select("id", "label", tx.label_present(F.col("label"), F.col("present")).alias("resolved"))
 
 
-@query("""SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_mktsegment = 'BUILDING'""")
+@query("""SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def universe_match(spark, d):
     known = _t(spark, d, "nation").select(F.upper("n_name").alias("ticker"), F.col("n_nationkey").cast("string").alias("cik"), F.col("n_name").alias("company_name"))
     matched = dc.match_universe(known.select("ticker"), known)
-    c = _t(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").withColumn("cik", F.lpad(F.col("c_nationkey").cast("string"), 10, "0"))
+    c = _t(spark, d, "customer").withColumn("cik", F.lpad(F.col("c_nationkey").cast("string"), 10, "0"))
     return c.join(matched, "cik").select("c_custkey", F.col("company_name").alias("n_name"))
 
 

@@ -13,24 +13,22 @@ AGAIN = frozenset({429, 500, 502, 503, 504})
 
 
 class Limiter:
-    """At most ``rate`` calls a second over all threads; a penalty delays them all."""
+    """A gate that lets one caller through at a time, at most ``rate`` a second; a penalty shuts it for all."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
         if rate <= 0:
             raise ValueError("the rate must be positive")
-        self.gap, self.next, self.clock, self.sleep, self.lock = 1 / rate, 0.0, clock, sleep, threading.Lock()
+        self.rate, self.clock, self.sleep, self.gate = rate, clock, sleep, threading.Lock()
+        self.opens: dict[str, float] = {}
 
     def wait(self) -> None:
-        with self.lock:
-            now = self.clock()
-            at = max(now, self.next)
-            self.next = at + self.gap
-        if at > now:
-            self.sleep(at - now)
+        with self.gate:  # whoever waits holds the gate, and looks again for penalties that came meanwhile
+            while (left := max(self.opens.values(), default=0.0) - self.clock()) > 1e-9:
+                self.sleep(left)
+            self.opens["pace"] = self.clock() + 1 / self.rate
 
     def penalise(self, seconds: float) -> None:
-        with self.lock:
-            self.next = max(self.next, self.clock() + seconds)
+        self.opens["penalty"] = max(self.opens.get("penalty", 0.0), self.clock() + seconds)
 
 
 def _open(url: str, headers: dict[str, str], timeout: float) -> tuple[int, dict[str, str], bytes]:

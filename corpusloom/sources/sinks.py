@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv as _csv
 import io
 import json
+import uuid
 import os
 
 from pyspark.sql import DataFrame
@@ -62,6 +63,18 @@ def append(ledger: DataFrame, path: str) -> None:
     ledger.withColumn("seq", F.struct(F.current_timestamp().alias("at"), F.monotonically_increasing_id().alias("n"))).write.mode("append").parquet(path)
 
 
+def rewrite(ledger: DataFrame, path: str) -> str:
+    """The ledger's entries as one new generation beside the old one, which stays until the new one is complete."""
+    spark = ledger.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, fresh = at.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    append(ledger, fresh.toString())
+    fs.delete(at, True)
+    if not fs.rename(fresh, at):
+        raise OSError(f"{fresh.toString()} holds the ledger; it could not be renamed to {path}")
+    return path
+
+
 def report(parts: dict, path: str) -> int:
     """A small report of values and DataFrames as one JSON file."""
     plain = lambda v: [r.asDict(recursive=True) for r in v.toLocalIterator()] if isinstance(v, DataFrame) else v

@@ -54,8 +54,8 @@ def test_legacy_tables(spark, tmp_path):
 
 def test_universe(spark, tmp_path):
     p = tmp_path / "u.csv"
-    p.write_text("ticker,cik,company_name\n aapl ,320193,Apple\n")
-    assert tuple(tables.universe(spark, str(p)).first()) == ("AAPL", "0000320193", "Apple")
+    p.write_text("ticker,cik,company_name\n zzyx ,418207,Zyxo\n")
+    assert tuple(tables.universe(spark, str(p)).first()) == ("ZZYX", "0000418207", "Zyxo")
     p.write_text("ticker,cik,company_name\n")
     with pytest.raises(ValueError):
         tables.universe(spark, str(p))
@@ -165,6 +165,28 @@ def test_http_client():
         http.Limiter(0)
 
 
+def test_ledgers_are_read_as_they_were_written(spark, tmp_path):
+    entry = lambda a, d, status, at: (a, d, "primary", "p", status, "1", "text/html", "s", at)
+    path = str(tmp_path / "ledger")
+    for rows in ([entry("1", "a", "failed", "t0"), entry("2", "b", "ok", "t0")], [entry("1", "a", "ok", "t1"), entry("1", None, "ok", "t1")]):
+        sinks.append(spark.createDataFrame(rows, s.FETCHED), path)
+    got = lambda: sorted((r["accession"], r["document"] or "", r["status"]) for r in tables.appended(spark, path).collect())
+    want = [("1", "", "ok"), ("1", "a", "ok"), ("2", "b", "ok")]
+    assert got() == want and tables.appended(spark, path).columns == s.FETCHED.fieldNames()
+    spark.catalog.clearCache()
+    sinks.rewrite(tables.appended(spark, path), path)
+    assert got() == want and spark.read.parquet(path).count() == 3
+
+
+def test_rows_of_a_null_group_are_numbered(spark):
+    rows = spark.createDataFrame([(None, 2), (None, 1), ("g", 5), ("a", 7)], "f string, n int")
+    assert sorted((r["row"], r["f"], r["n"]) for r in tables.numbered(rows, "f", "n").collect()) == [(0, None, 1), (1, None, 2), (2, "a", 7), (3, "g", 5)]
+
+
+def test_override_words():
+    assert [cf.scalar(x) for x in ("yes", " On ", "no", "off", "~", " padded ", "-4", "0.5", '{"a": [1]}', "[oops", "NaN", "2024-01-05")] == [True, True, False, False, None, "padded", -4, 0.5, {"a": [1]}, "[oops", "NaN", "2024-01-05"]
+
+
 def test_config_and_log(tmp_path, monkeypatch):
     c = cf.Config({"a": {"b": 1}})
     c.set("a.c.d", cf.scalar("[1, 2]"))
