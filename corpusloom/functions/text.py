@@ -125,3 +125,8 @@ def starts_with_foreign(text: Column, prefixes: list[str]) -> Column:
     for p in prefixes:
         found = found | bare.startswith(p)
     return found
+
+
+def refuse_foreign(text: Column, prefixes: list[str]) -> Column:
+    """The text itself; one that carries another provider's prompt prefix stops the job, with its beginning."""
+    return F.when(starts_with_foreign(text, prefixes), F.raise_error(F.concat(F.lit("text with a foreign prompt prefix: "), F.left(text, F.lit(40))))).otherwise(text)

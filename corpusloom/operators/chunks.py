@@ -62,6 +62,17 @@ def section_distribution(chunks: DataFrame) -> DataFrame:
     return rows.select("grp", "section", "chunks", "chars", pct.alias("pct"))
 
 
+def most_common(rows: DataFrame, *by: str) -> DataFrame:
+    """Counts of the labels ``by``, commonest first, ties by label (null first): the labels, n and their ``place``.
+
+    One row a label reaches the window that places them.
+    """
+    from pyspark.sql import Window
+
+    counts = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), *by)))
+
+
 def heading_census(documents: DataFrame, pattern: str, width: int = 52, top: int = 6) -> DataFrame:
     """The commonest continuations of each numbered heading: item, tail, n."""
     from pyspark.sql import Window

@@ -64,6 +64,24 @@ def exhibit_rows(primaries: DataFrame, headers: DataFrame, archives: str, prefix
     return named, rows.filter("filename is null").select("accession", "ticker", "type", "sequence")
 
 
+def discover(recent: DataFrame, shards: DataFrame, headers: DataFrame, archives: str, forms: list[str], prefixes: list[str], low: str, high: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """One manifest of recent filings, those of older shards and the exhibits of both; and its problems.
+
+    A filing that several inputs name counts once, recent ones first; of rows of
+    one accession and document one stays, primaries first. ``recent`` and
+    ``shards`` are filings as in :func:`manifest_rows`, ``headers`` documents as
+    in :func:`exhibit_rows`. Problems: accessionNumber, problem.
+    """
+    seq = lambda rows, n: rows.withColumn("seq", F.struct(F.lit(n).alias("source"), F.col("seq").cast("long").alias("place")))
+    primaries, problems = manifest_rows(seq(recent, 0).unionByName(seq(shards, 1)), archives, forms, low, high)
+    primaries = primaries.drop("seq")
+    exhibits, unnamed = exhibit_rows(primaries, headers, archives, prefixes)
+    rows = primaries.unionByName(exhibits)
+    first = F.struct(F.when(F.col("doc_type") == "primary", 0).otherwise(1), F.coalesce("exhibit_label", F.lit("")))
+    rows = keep_first(rows.withColumn("_first", first), ("accession", "document"), "_first").drop("_first")
+    return rows, problems.unionByName(unnamed.select(F.col("accession").alias("accessionNumber"), F.lit("exhibit without a file name").alias("problem"))).distinct()
+
+
 def _order() -> list[Column]:
     blank = lambda c: F.coalesce(c, F.lit(""))
     return [blank("ticker"), blank("filing_date").desc(), blank("accession"), F.when(F.col("doc_type") == "primary", 0).otherwise(1), blank("document")]
