@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .lexical import ranking
 
@@ -39,13 +40,14 @@ def scores(vectors: DataFrame, queries: DataFrame, top: int | None = None) -> Da
     many scans are united as there are blocks.
     """
     width = queries.select(F.max(F.size("embedding"))).first()[0] or 1
+    shape = T.StructType([queries.schema["qid"], T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType())])
     block = max(1, MOST_FLOATS // width)
     found = None
     held: list = []
 
     def one(rows: list) -> DataFrame:
         matrix = np.array([r["embedding"] for r in rows], np.float64)
-        return vectors.select("row", "embedding").mapInPandas(_scan([r["qid"] for r in rows], matrix, top), "qid long, row long, score double")
+        return vectors.select("row", "embedding").mapInPandas(_scan([r["qid"] for r in rows], matrix, top), shape)
 
     for r in queries.select("qid", "embedding").toLocalIterator():
         held.append(r)

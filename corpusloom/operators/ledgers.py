@@ -32,8 +32,9 @@ def duplicates(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
 
 def outstanding(wanted: DataFrame, done: DataFrame, key: tuple[str, ...] = DOCUMENT) -> DataFrame:
     """Rows of ``wanted`` without a counterpart in ``done``; null key fields count as empty."""
-    on = [F.coalesce(wanted[k].cast("string"), F.lit("")) == F.coalesce(done[k].cast("string"), F.lit("")) for k in key]
-    return wanted.join(done, reduce(lambda a, b: a & b, on), "left_anti")
+    text = lambda k: F.coalesce(F.col(k).cast("string"), F.lit(""))
+    seen = done.select(*[text(k).alias(f"_done_{k}") for k in key])  # names of their own, so that both sides may come from one table
+    return wanted.join(seen, reduce(lambda a, b: a & b, [text(k) == F.col(f"_done_{k}") for k in key]), "left_anti")
 
 
 def to_fetch(manifest: DataFrame, ledger: DataFrame, files: DataFrame) -> DataFrame:

@@ -94,6 +94,11 @@ def headline(values: DataFrame) -> DataFrame:
     return rows.select("answerable_median", "negative_median", F.round(F.col("answerable_median") - F.col("negative_median"), 4).alias("median_separation"), F.round("low", 4).alias("lowest_answerable"), F.round("high", 4).alias("highest_negative"), F.coalesce(F.col("low") <= F.col("high"), F.lit(False)).alias("distributions_overlap"))
 
 
+def only(rows: DataFrame, ids: list[str] | None) -> DataFrame:
+    """Rows of the questions ``ids`` (all of them without a list); a name the key lacks is simply absent."""
+    return rows if ids is None else rows.filter(F.col("qid").isin(ids))
+
+
 def evaluate(entries: DataFrame, hits: DataFrame, resolutions: DataFrame, at: tuple[int, ...] = AT, answerable: tuple[str, ...] = ANSWERABLE, section_tickers: list[str] | None = None) -> dict[str, DataFrame]:
     """All parts of a report. ``entries``: qid, type, question; those without a question are rejected."""
     live = entries.filter(F.coalesce("question", F.lit("")) != "")

@@ -12,10 +12,12 @@ import json
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import embedders
 from ..config import chunk_fingerprint
 from ..functions.html import INLINE, visible
+from ..functions.text import refuse_foreign
 from ..operators import chunks as ck
 from ..operators import dense, fusion, lexical
 from ..operators.ledgers import outstanding
@@ -66,14 +68,24 @@ def sidecar(spark: SparkSession, path: str) -> dict:
     return (_described(spark, path) or {}) | {"count": spark.read.parquet(f"{path}/rows").count()}
 
 
-def build(raw: DataFrame, path: str, how, anchors: dict, embedder: str = "hashing", options: dict | None = None, least: int = 200, preamble: str | None = None) -> DataFrame:
-    """HTML documents to an index of chunks with vectors and postings."""
+def build_index(raw: DataFrame, path: str, how, anchors: dict, embedder: str = "hashing", options: dict | None = None, least: int = 200, preamble: str | None = None, limit: int | None = None, rebuild: bool = False, foreign: list[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """HTML documents to an index of chunks with vectors and postings; its rows, and the chunks that were too long.
+
+    Texts that begin with a prompt prefix in ``foreign`` stop the build.
+    """
     from ..sources.tables import numbered
 
     made = ck.chunk(documents(raw), how, anchors, least, preamble)
-    rows, _ = embed_index(numbered(made, "accession", "document", "chunk_ordinal"), path, embedder, options, chunk_fingerprint(anchors, least, preamble, how, INLINE))
+    if foreign:
+        made = made.withColumn("text", refuse_foreign(F.col("text"), foreign))
+    rows, long_ = embed_index(numbered(made, "accession", "document", "chunk_ordinal"), path, embedder, options, chunk_fingerprint(anchors, least, preamble, how, INLINE), limit, rebuild)
     lexical.build(rows.select("row", "text")).save(f"{path}/lexical")
-    return rows
+    return rows, long_
+
+
+def build(raw: DataFrame, path: str, how, anchors: dict, embedder: str = "hashing", options: dict | None = None, least: int = 200, preamble: str | None = None) -> DataFrame:
+    """The rows that :func:`build_index` makes of all documents."""
+    return build_index(raw, path, how, anchors, embedder, options, least, preamble)[0]
 
 
 class Retriever:
@@ -94,7 +106,7 @@ class Retriever:
             ranked, digits = lexical.search(self.index, queries, top), 6
         else:
             asked = [(r["qid"], self.model.embed_query(r["text"]).tolist()) for r in queries.select("qid", "text").toLocalIterator()]
-            vectors = self.spark.createDataFrame(asked, "qid long, embedding array<float>")
+            vectors = self.spark.createDataFrame(asked, T.StructType([queries.schema["qid"], T.StructField("embedding", T.ArrayType(T.FloatType()))]))
             if kind == "dense":
                 ranked, digits = dense.search(self.rows, vectors, top), 6
             elif kind == "hybrid":

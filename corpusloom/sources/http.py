@@ -46,16 +46,21 @@ class Client:
         self.requests = 0
 
     def get(self, url: str) -> str:
-        """The body as text; errors that pass are tried again, others raise at once."""
+        """The body as text."""
+        return self.fetch(url)[1].decode("utf-8", "replace")
+
+    def fetch(self, url: str) -> tuple[str, bytes]:
+        """Content type and body; errors that pass are tried again, others raise at once."""
         for attempt in range(self.tries):
             self.limiter.wait()
             self.requests += 1
             status, headers, body = self.opener(url, self.headers, self.timeout)
+            told = {k.lower(): v for k, v in headers.items()}
             if status < 400:
-                return body.decode("utf-8", "replace")
+                return told.get("content-type", ""), body
             if status not in AGAIN or attempt == self.tries - 1:
                 raise OSError(f"{url}: status {status} after {attempt + 1} tries")
-            told = {k.lower(): v for k, v in headers.items()}.get("retry-after", "")
-            pause = float(told) if told.isdigit() else self.base * 2**attempt * (1 + random.random() / 4)
+            wish = told.get("retry-after", "")
+            pause = float(wish) if wish.isdigit() else self.base * 2**attempt * (1 + random.random() / 4)
             self.limiter.penalise(pause) if status == 429 else self.limiter.sleep(pause)
         raise OSError(url)
