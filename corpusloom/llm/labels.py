@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import fold, materialize, text_key
+from .shared import fold, materialize, text_key, trimmed
 
 
 def held_out(doc_id: Column, modulus: int, held: int) -> Column:
@@ -40,12 +40,21 @@ def training_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     return found.select("place", "text", F.col("label").cast("double").alias("label"))
 
 
+def consumed(texts: list[str]) -> Iterator[str]:
+    """The texts one by one; the list lets go of each."""
+    for i, text in enumerate(texts):
+        texts[i] = ""
+        yield text
+
+
 def fitted(sample: DataFrame, fit: Callable[[list[str], np.ndarray], dict]) -> dict:
     """What ``fit`` makes of the sample, in one task on an executor; only the model comes to the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("place", "text", "label")), strict=True)), key=lambda r: r[:2])
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], np.array([r[2] for r in rows], float)))], pa.binary())], ["model"])
+        texts, label = [r[1] for r in rows], np.array([r[2] for r in rows], float)
+        rows.clear()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(texts, label))], pa.binary())], ["model"])
 
-    made = sample.repartition(1).mapInArrow(run, "model binary").collect()
+    made = sample.repartition(1).mapInArrow(trimmed(run), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else fit([], np.zeros(0))

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .hashing import in_chunks
+
 #: The ASCII white space that separates words in every contract of this package.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -134,6 +138,25 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def slices(column: pa.Array, most: int) -> Iterator[slice]:
+    """Consecutive slices of a column of strings or binaries with about ``most`` bytes each, so that Python need hold no more of them at once."""
+    return in_chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
+
+
+def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``function``, whose worker gives free memory back when a task ends; idle workers stay beside the JVM for a minute."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+                trim(0)
+
+    return run
+
+
 def regroup(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[pa.Table]:
     """Batches joined into tables of about ``most_bytes``, so that memory is bounded by it."""
     held, size = [], 0

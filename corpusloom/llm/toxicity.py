@@ -15,7 +15,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .labels import fitted, held_out, training_texts
-from .shared import texts_of
+from .labels import consumed, fitted, held_out, training_texts
+from .shared import slices, trimmed
 
 TOKENS, SHAPES = 1 << 16, 4
 MODULUS, HELD, CUT = 4, 2, 0.3
 SAMPLE, CHARACTERS = 12_000, 64_000_000
+#: Bytes of the texts that are scored together, and tokens whose places a task remembers.
+CHUNK, REMEMBERED = 8_000_000, 1 << 17
 #: Tokens of a training chain; cells of a block of chains that are tagged side by side, and the chains below which one goes alone.
 PIECE, CELLS, FEW = 64, 1 << 20, 8
 #: How far the gain of a tagged type may lie below what the best of all types reaches by chance (chosen on a fold of the training rows).
@@ -43,13 +45,16 @@ class Places(dict):
     """Tokens to the places of their features: a hash of the bare lower-case form, and a shape."""
 
     def __missing__(self, token: str) -> int:
-        if len(self) > 1 << 19:
+        if len(self) >= REMEMBERED:
             self.clear()
         bare = token.strip(_EDGE)
         shape = 0 if bare.islower() else 1 if bare.istitle() else 2 if bare.isupper() else 3
         self[token] = at = zlib.crc32(bare.lower().encode("utf-8", "surrogatepass")) % TOKENS * SHAPES + shape
         return at
 
+    def of(self, tokens: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, tokens), np.int32, len(tokens))
+
 
 def marginals(odds: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """P(tag 1) of each step (rows) of each chain (columns).
@@ -81,12 +86,18 @@ class Chain:
     tagged: int = 0
 
     def tag(self, documents: list[np.ndarray]) -> list[np.ndarray]:
-        """Marginals of each document's tokens, exact at any length.
+        """Marginals of each document's tokens, exact at any length."""
+        out = [np.empty(0)] * len(documents)
+        for d, p in self.tagged_blocks(documents):
+            out[d] = p
+        return out
+
+    def tagged_blocks(self, documents: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Place and marginals of each document, block by block.
 
         Documents of like length run side by side; where too few would, each
         runs alone through the same recursion in plain floats.
         """
-        out = [np.empty(0)] * len(documents)
         order = sorted(range(len(documents)), key=lambda d: len(documents[d]))
         moves, table = np.exp(self.moves), np.exp(np.clip(self.emission, -30, 30))
         at = 0
@@ -98,7 +109,7 @@ class Chain:
             at = end
             if len(some) < FEW:
                 for d in some:
-                    out[d] = alone(table[documents[d]].tolist(), moves.tolist())
+                    yield d, alone(table[documents[d]].tolist(), moves.tolist())
                 continue
             ends = np.array([len(documents[d]) for d in some])
             odds = np.full((int(ends[-1]), len(some)), 1e-13)
@@ -106,8 +117,7 @@ class Chain:
                 odds[: ends[k], k] = table[documents[d]]
             p = marginals_padded(odds, ends, moves)
             for k, d in enumerate(some):
-                out[d] = p[: ends[k], k]
-        return out
+                yield d, p[: ends[k], k]
 
     def score(self, p: np.ndarray) -> float:
         x = float(summary(p) @ self.weights) + self.bias
@@ -182,29 +192,33 @@ def toxic_types(documents: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return kinds[(share > 0.5) & (gain > math.log(len(every)) - LENIENT)]
 
 
-def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 6) -> Chain:
+def fit(texts: Iterable[str], label: np.ndarray, seed: int = 7, rounds: int = 6) -> Chain:
     """A chain from whole labelled texts.
 
     Every token of every text trains, in chains of ``PIECE``; a clean text that
     holds a tagged type speaks against that type.
     """
     rng, places, model = np.random.default_rng(seed), Places(), Chain()
-    documents = [np.fromiter(map(places.__getitem__, t.split()), np.int64) for t in texts]
+    documents, by_content = [], {}
+    for i, (text, y) in enumerate(zip(texts, label, strict=True)):
+        tokens = text.split()
+        documents.append(places.of(tokens))
+        by_content[hashlib.sha256("\n".join(tokens).encode("utf-8", "surrogatepass")).digest(), y] = i
+    places.clear()
     bad = np.zeros(TOKENS, bool)
     # copies of one toxic text would make all its words look toxic; copies (equal in every token) of one label count once
-    once = list({(hashlib.sha256("\n".join(t.split()).encode("utf-8", "surrogatepass")).digest(), y): i for i, (t, y) in enumerate(zip(texts, label, strict=True))}.values())
+    once = list(by_content.values())
     bad[toxic_types([documents[i] for i in once], label[once])] = True
     model.tagged = int(bad.sum())
     rate = float(np.clip(label.mean() if len(label) else 0.1, 0.02, 0.98))
     model.bias = math.log(rate / (1 - rate))
     if not model.tagged:
         return model
-    pieces = [(x[a : a + PIECE], bad[x[a : a + PIECE] // SHAPES] & bool(y)) for x, y in zip(documents, label, strict=True) for a in range(0, len(x), PIECE)]
-    lengths = np.array([len(p[0]) for p in pieces])
-    xs, ys = np.zeros((PIECE, len(pieces)), np.int32), np.zeros((PIECE, len(pieces)), bool)
-    for k, (x, tags) in enumerate(pieces):
-        xs[: len(x), k], ys[: len(x), k] = x, tags
-    del pieces
+    lengths = np.array([min(PIECE, len(x) - a) for x in documents for a in range(0, len(x), PIECE)])
+    xs, ys = np.zeros((PIECE, len(lengths)), np.int32), np.zeros((PIECE, len(lengths)), bool)
+    pieces = ((x[a : a + PIECE], y) for x, y in zip(documents, label, strict=True) for a in range(0, len(x), PIECE))
+    for k, (x, y) in enumerate(pieces):
+        xs[: len(x), k], ys[: len(x), k] = x, bad[x // SHAPES] & bool(y)
     token, shape = np.full(TOKENS, -4.0), np.full(SHAPES, -3.0)
     grown_t, grown_s, grown_m = np.full(TOKENS, 1e-4), np.full(SHAPES, 1e-4), np.full((2, 2), 1e-4)
     for _ in range(rounds):
@@ -232,8 +246,11 @@ def fit(texts: list[str], label: np.ndarray, seed: int = 7, rounds: int = 6) ->
                 grown += slope_ * slope_
                 weights += 0.7 * slope_ / np.sqrt(grown)
     model.emission = (token[:, None] + shape[None, :]).ravel()
-    p = model.tag(documents)
-    fit_summary(model, np.array([summary(x) for x in p]), label)
+    del xs, ys
+    found = np.zeros((len(documents), 3))
+    for d, p in model.tagged_blocks(documents):
+        found[d] = summary(p)
+    fit_summary(model, found, label)
     return model
 
 
@@ -286,28 +303,24 @@ def f1_cut(margins: np.ndarray, label: np.ndarray) -> float:
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
 
-def scorer(model: Chain):
+def scorer(model: Chain, inside: int | None = None):
+    """``inside``: the text's place in the row's struct, where it doesn't travel as a column of its own."""
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         places = Places()
         for batch in batches:
-            texts = texts_of(batch)
-            scores: list[float] = []
-            spans: list[list[dict]] = []
-            at = 0
-            while at < len(texts):  # bounded by characters, not rows
-                end, size = at, 0
-                while end < len(texts) and (size := size + len(texts[end])) <= 8_000_000 or end == at:
-                    end += 1
-                some = texts[at:end]
-                tokens = [t.split() for t in some]
-                p = model.tag([np.fromiter(map(places.__getitem__, t), np.int64, len(t)) for t in tokens])
-                for text, q in zip(some, p, strict=True):
+            column = batch.column("text") if inside is None else batch.column("_row").field(inside)
+            for part in slices(column, CHUNK):  # bounded by bytes, not rows
+                scores: list[float] = []
+                spans: list[list[dict]] = []
+                texts = [x or "" for x in column[part].to_pylist()]
+                p = model.tag([places.of(t.split()) for t in texts])
+                for text, q in zip(texts, p, strict=True):
                     scores.append(model.score(q))
                     hit = set(np.flatnonzero(q >= 0.5).tolist())
                     found = [m.span() for i, m in enumerate(re.finditer(r"\S+", text)) if i in hit] if hit else []
                     spans.append([{"start": a, "end": b, "p": float(v)} for (a, b), v in zip(found, q[sorted(hit)], strict=True)])
-                at = end
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("_row"), pa.array(scores, pa.float64()), pa.array(spans, _SPAN)], ["doc_id", "_row", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part].cast(pa.int64()), batch.column("_row")[part], pa.array(scores, pa.float64()), pa.array(spans, _SPAN)], ["doc_id", "_row", "score", "spans"])
 
     return score
 
@@ -321,10 +334,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus:
     of both classes, or without any token that tells them apart, the score is
     the base rate. An empty table gives an empty result.
     """
-    model = Chain(**fitted(training_texts(docs, labels, label, modulus, held, most, characters), lambda texts, y: vars(fit(texts, y))))
-    row = F.struct(*docs.columns) if carry else F.lit(None).cast("int")
-    rows = docs.select("doc_id", "text", row.alias("_row"))
+    model = Chain(**fitted(training_texts(docs, labels, label, modulus, held, most, characters), lambda texts, y: vars(fit(consumed(texts), y))))
+    if carry:  # the text travels once, in its row
+        inside = (docs.columns if "text" in docs.columns else [c.lower() for c in docs.columns]).index("text")
+        rows = docs.select("doc_id", F.struct(*docs.columns).alias("_row"))
+    else:
+        inside, rows = None, docs.select("doc_id", "text", F.lit(None).cast("int").alias("_row"))
     made = T._parse_datatype_string("doc_id long, score double, spans array<struct<start:int,end:int,p:double>>")
-    rows = rows.mapInArrow(scorer(model), T.StructType([made["doc_id"], rows.schema["_row"], made["score"], made["spans"]]))
+    rows = rows.mapInArrow(trimmed(scorer(model, inside)), T.StructType([made["doc_id"], rows.schema["_row"], made["score"], made["spans"]]))
     rows = rows.select("doc_id", "_row", held_out(F.col("doc_id"), modulus, held).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "spans")
     return rows if carry else rows.drop("_row")

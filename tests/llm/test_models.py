@@ -1,14 +1,17 @@
 """Quality and toxicity: held-out accuracy, and the models against their definitions."""
 
 import itertools
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from corpusloom.llm import quality, toxicity
+from corpusloom.llm.labels import consumed
 
 def test_sum_of_squares_is_the_sum_over_pairs():
     rng = np.random.default_rng(0)
@@ -145,3 +148,36 @@ def test_short_texts_and_ends_train(size, place):
     marginal = model.tag([np.array([toxicity.Places()[w] for w in t.split()]) for t in texts])
     assert [model.score(p) >= 0.3 for p in marginal] == [bool(y) for y in label]
     assert all((p >= 0.5).tolist() == [w == "vile" for w in t.split()] for t, p in zip(texts, marginal, strict=True))
+
+
+def peak(run):
+    """Bytes that Python and numpy hold at most while ``run`` runs, beyond those held before."""
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_scoring_holds_little_beside_the_texts():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k:04d}" for k in rng.integers(0, 3000, 400)) + (" vile" * 3 if i % 4 == 0 else "") for i in range(800)]
+    size, label = sum(map(len, texts)), np.arange(800) % 4 == 0
+    model = toxicity.fit(texts, label.astype(float), rounds=1)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(800)), "text": texts, "_row": pa.nulls(800, pa.int32())})
+    assert peak(lambda: list(toxicity.scorer(model)(iter([batch])))) < 12 * size
+
+
+def test_consumed_texts_are_let_go():
+    held = ["a", "b"]
+    assert next(texts := consumed(held)) == "a" and held == ["", "b"] and list(texts) == ["b"]
+
+
+def test_text_is_found_in_its_row(spark):
+    rows = [(i, None, "a vile word" if i % 3 else "a fine word", "x") for i in range(1, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, score string, Text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(1, 40)], "doc_id long, toxic int")
+    plain = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    carried = toxicity.toxicity(docs, labels, carry=True).collect()
+    assert {r.doc_id: r.score for r in carried} == plain and {tuple(r._row) for r in carried} == set(rows)
