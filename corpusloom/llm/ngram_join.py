@@ -33,12 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .hashing import in_chunks, mix, set_id, shingle_sets
-from .shared import discard, keep_rows, materialize, parts, text_key, texts_of
+from .hashing import mix, set_id, shingle_sets
+from .shared import discard, keep_rows, materialize, parts, slices, text_key, texts_of, trimmed
 
 #: Links need 100 * intersection >= 80 * union.
 NUM, DEN, WORDS = 80, 100, 5
-_CHUNK, _PUBLISH = 2_000_000, 1 << 21
+#: Bytes of the texts that are hashed together, and of the sets that become rows together; published hashes that a task holds.
+_CHUNK, _ENTRIES, _PUBLISH = 1_000_000, 1 << 23, 1 << 21
 #: Words of a parity sketch; members that a list compares in its second turn, and by how much more in each further one.
 SKETCH, REACH = 16, 16
 
@@ -84,15 +85,19 @@ def _publisher(buckets: int):
         heads = list(held.values())
         owner = np.repeat(np.array(list(held), np.int64), [len(h) for h in heads])
         hashes = np.concatenate(heads)
+        held.clear()
+        del heads
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         start = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         length = np.diff(np.append(start, len(hashes)))
         who, count = np.unique(owner[np.repeat(length > 1, length)], return_counts=True)
         sent, by = hashes[start], np.where(length > 1, 0, owner[start])
+        del hashes, owner, start, length
         bucket = (mix(sent) % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((by, bucket))  # an owner is named once for its hashes in a bucket
         sent, by, bucket = sent[order], by[order], bucket[order]
+        del order
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
@@ -106,9 +111,9 @@ def _publisher(buckets: int):
         held: dict[int, np.ndarray] = {}
         size = turn = 0
         for batch in batches:
-            texts, ids, keys = texts_of(batch), batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
-            for part in in_chunks([len(t) for t in texts], _CHUNK):
-                sets = shingle_sets(texts[part], WORDS)
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("key").to_pylist()
+            for part in slices(batch.column("text"), _CHUNK):
+                sets = shingle_sets(texts_of(batch[part]), WORDS)
                 sids = [set_id(s) if len(s) else None for s in sets]
                 turn += 1
                 yield from send([(turn % buckets, None, None, None, ids[part], keys[part], [len(s) for s in sets], sids)])
@@ -118,7 +123,7 @@ def _publisher(buckets: int):
                         size += len(held[sid])
                 if size >= _PUBLISH:
                     yield from flush(held)
-                    held, size = {}, 0
+                    size = 0
         if size:
             yield from flush(held)
 
@@ -168,9 +173,8 @@ def sketch(hashes: np.ndarray) -> list[int]:
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """sid, n, the whole set and its sketch for each text."""
     for batch in batches:
-        texts = texts_of(batch)
-        for part in in_chunks([len(t) for t in texts], _CHUNK):
-            sets = shingle_sets(texts[part], WORDS)
+        for part in slices(batch.column("text"), _CHUNK):
+            sets = shingle_sets(texts_of(batch[part]), WORDS)
             columns = [pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, ["sid", "n", "whole", "sketch"])
 
@@ -178,11 +182,12 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Shingles as rows."""
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column("whole").to_pylist()]
-        sid = np.repeat(np.array(batch.column("sid").to_pylist(), np.int64), [len(h) for h in sets])
-        h = np.concatenate([*sets, np.zeros(0, np.int64)])
-        for i in range(0, len(h), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (h, sid)], ["h", "sid"])
+        for part in slices(batch.column("whole"), _ENTRIES):
+            sets = [np.frombuffer(x, np.int64) for x in batch.column("whole")[part].to_pylist()]
+            sid = np.repeat(np.array(batch.column("sid")[part].to_pylist(), np.int64), [len(h) for h in sets])
+            h = np.concatenate([*sets, np.zeros(0, np.int64)])
+            for i in range(0, len(h), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000]) for x in (h, sid)], ["h", "sid"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +210,7 @@ def rare_first(whole: DataFrame) -> DataFrame:
     ``es`` its shingles and one more, rarest first; light vertices enumerate the
     pairs of ``es``.
     """
-    each = whole.select("sid", "whole").mapInArrow(_entries, "h long, sid long")
+    each = whole.select("sid", "whole").mapInArrow(trimmed(_entries), "h long, sid long")
     df = each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
     shared = each.join(df, "h").groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("es"))
     rows = shared.join(whole.select("sid", "n", "sketch"), "sid").withColumn("size", F.size("es")).filter(F.col("size") >= _needed(F.col("n")))
@@ -272,7 +277,7 @@ def _similar(fit: DataFrame, whole: DataFrame, label: str) -> DataFrame:
     """
     left = whole.select(F.col("sid").alias("a"), F.col("whole").alias("wa"))
     right = whole.select(F.col("sid").alias("b"), F.col("whole").alias("wb")).join(fit.select("b").distinct(), "b", "left_semi")
-    return materialize(left.join(fit, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(_verify, "a long, b long"), label)
+    return materialize(left.join(fit, "a").join(right, "b").select("a", "b", "wa", "wb").mapInArrow(trimmed(_verify), "a long, b long"), label)
 
 
 def _merge(labels: DataFrame | None, edges: DataFrame, label: str) -> DataFrame:
@@ -353,7 +358,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     row that stands for the component. One row per row of ``docs``."""
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     buckets = 4 * parts(docs)
-    found = texts.mapInArrow(_publisher(buckets), _SENT).repartitionById(buckets, "bucket").mapInArrow(_resolve, _RESOLVED)
+    found = texts.mapInArrow(trimmed(_publisher(buckets)), _SENT).repartitionById(buckets, "bucket").mapInArrow(trimmed(_resolve), _RESOLVED)
     found = materialize(found, "sets")
     rows = found.filter("shared is null").drop("shared")
     shared = found.filter("shared is not null").groupBy("sid").agg(F.sum("shared").alias("shared"))
@@ -361,7 +366,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     live = vertex.join(shared, "sid").filter(F.col("shared") >= _test(F.col("n"))).select("of.doc_id", "of.key")
     live = materialize(live.withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "survivors")
     chosen = texts.join(live, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
-    whole = materialize(chosen.select("text").mapInArrow(_whole, "sid long, n long, whole binary, sketch array<long>"), "whole")
+    whole = materialize(chosen.select("text").mapInArrow(trimmed(_whole), "sid long, n long, whole binary, sketch array<long>"), "whole")
     if not whole.groupBy("sid").count().filter("count > 1").isEmpty():  # rows that repeat both id and text
         once = materialize(whole.dropDuplicates(["sid"]), "once")
         discard(whole)

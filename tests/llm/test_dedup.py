@@ -3,9 +3,11 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -318,3 +320,19 @@ def test_shingle_sets_agree_with_their_definition():
     sets = hashing.shingle_sets(texts)
     assert [len(s) for s in sets] == [len(shingles(t)) for t in texts]
     assert hashing.set_id(sets[4]) == hashing.set_id(hashing.shingle_sets(["A  b C d\nE"])[0])
+
+
+def test_sets_become_rows_piece_by_piece():
+    sets = [np.arange(k, k + 100_000, dtype=np.int64) for k in range(60)]
+    batch = pa.RecordBatch.from_pydict({"sid": list(range(60)), "whole": pa.array([s.tobytes() for s in sets], pa.binary())})
+    total, rows = np.zeros(2, np.int64), 0
+    tracemalloc.start()
+    try:
+        for out in ngram_join._entries(iter([batch])):
+            total += [int(out.column(c).to_numpy().sum()) for c in ("h", "sid")]
+            rows += out.num_rows
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 6_000_000 and total.tolist() == [sum(int(s.sum()) for s in sets), 100_000 * sum(range(60))]
+    assert most < batch.nbytes
