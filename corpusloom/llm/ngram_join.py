@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, set_id, shingle_sets
-from .shared import discard, keep_rows, materialize, parts, slices, text_key, texts_of, trimmed
+from .shared import discard, keep_rows, materialize, parts, sieve, slices, text_key, texts_of, trimmed
 
 #: Links need 100 * intersection >= 80 * union.
 NUM, DEN, WORDS = 80, 100, 5
@@ -365,7 +365,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     vertex = rows.filter("sid is not null").groupBy("sid").agg(F.max("n").alias("n"), F.min(F.struct("doc_id", "key")).alias("of"))
     live = vertex.join(shared, "sid").filter(F.col("shared") >= _test(F.col("n"))).select("of.doc_id", "of.key")
     live = materialize(live.withColumnsRenamed({"doc_id": "of_id", "key": "of_key"}), "survivors")
-    chosen = texts.join(live, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
+    # most texts go by a bounded filter where they lie, so only the survivors' can be moved
+    chosen = sieve(texts, ["doc_id", "key"], live).join(live, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key")), "left_semi")
     whole = materialize(chosen.select("text").mapInArrow(trimmed(_whole), "sid long, n long, whole binary, sketch array<long>"), "whole")
     if not whole.groupBy("sid").count().filter("count > 1").isEmpty():  # rows that repeat both id and text
         once = materialize(whole.dropDuplicates(["sid"]), "once")

@@ -19,6 +19,9 @@ from .hashing import in_chunks
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Words of 64 bits in a filter of rows, 4 MB.
+_WORDS = 1 << 19
+
 _written: dict[str, None] = {}
 
 
@@ -95,6 +98,26 @@ def parts(df: DataFrame, each: int = 32 << 20) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, sum(x for x in sizes if x < 1 << 60) // each)
 
 
+def sieve(rows: DataFrame, names: list[str], wanted: DataFrame) -> DataFrame:
+    """The rows whose ``names`` may be a row of ``wanted`` (as many columns, in that order): all that are, and few others.
+
+    A Bloom filter: four bits for each row of ``wanted`` in one word of 64, four
+    rows a word or fewer, but no more than ``_WORDS`` words, which bounds what is
+    broadcast; beyond, more rows pass. An exact join of those that pass is to follow.
+    """
+    words = min(_WORDS, 16 << (wanted.count() // 64).bit_length())
+
+    def places(columns: list[str]) -> list[Column]:
+        word, bits = F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(words)), F.xxhash64(*columns, F.lit(2))
+        one = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(bits, 6 * i).bitwiseAND(63).cast("int")) for i in range(4)]
+        return [F.shiftright(word, 4).alias("_line"), (word.bitwiseAND(15) + 1).cast("int").alias("_at"), one[0].bitwiseOR(one[1]).bitwiseOR(one[2]).bitwiseOR(one[3]).alias("_mask")]
+
+    line = F.array(*[F.bit_or(F.when(F.col("_at") == i + 1, F.col("_mask")).otherwise(F.lit(0).cast("long"))) for i in range(16)])
+    lines = wanted.select(places(wanted.columns)).groupBy("_line").agg(line.alias("_bits")).withColumnRenamed("_line", "_of")
+    met = (F.col("_line") == F.col("_of")) & (F.element_at("_bits", F.col("_at")).bitwiseAND(F.col("_mask")) == F.col("_mask"))
+    return rows.select("*", *places(names)).join(F.broadcast(lines), met, "left_semi").drop("_line", "_at", "_mask")  # at most _WORDS words
+
+
 def keep_rows(docs: DataFrame, key: Column, verdicts: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns.
 

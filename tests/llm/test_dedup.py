@@ -13,9 +13,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chunk_dedup, exact_dedup, hashing, ngram_join, suffix_dedup
+from corpusloom.llm import chunk_dedup, exact_dedup, hashing, ngram_join, shared, suffix_dedup
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import text_key
+from corpusloom.llm.shared import materialize, text_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, label string, at string, n long"
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua".split()
@@ -336,3 +336,32 @@ def test_sets_become_rows_piece_by_piece():
         tracemalloc.stop()
     assert rows == 6_000_000 and total.tolist() == [sum(int(s.sum()) for s in sets), 100_000 * sum(range(60))]
     assert most < batch.nbytes
+
+
+def test_sieve_lets_all_that_are_wanted_pass(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("nullif(id, 7) as doc_id", "id * 3 as key", "'x' as text")
+    wanted = rows.filter("key % 40 = 0 or doc_id is null").selectExpr("doc_id as of_id", "key as of_key")
+    for most, others in ((1 << 19, 200), (16, 4000)):
+        monkeypatch.setattr(shared, "_WORDS", most)
+        found = shared.sieve(rows, ["doc_id", "key"], wanted)
+        assert found.columns == rows.columns
+        keys = {r.key for r in found.collect()}
+        assert {r.of_key for r in wanted.collect()} <= keys and len(keys) <= others
+    assert shared.sieve(rows, ["doc_id", "key"], wanted.limit(0)).isEmpty()
+
+
+def test_texts_without_near_copies_stay_where_they_lie(spark):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.bytes(30).hex() for _ in range(300)) for _ in range(200)]
+    texts += [t + " end" for t in texts[:5]]
+    docs = materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "docs")
+    stages = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), spark.sparkContext._jvm.java.util.ArrayList())
+    written = lambda: sum(s.shuffleWriteBytes() for s in (found.apply(i) for found in [stages()] for i in range(found.size())))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        found = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == {i: i - 200 if i >= 200 else i for i in range(205)}
+    assert written() - before < sum(map(len, texts)) / 4
