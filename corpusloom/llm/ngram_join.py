@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .hashing import mix, set_id, shingle_sets
-from .shared import discard, keep_rows, materialize, parts, sieve, slices, text_key, texts_of, trimmed
+from .shared import discard, keep_rows, materialize, parts, sieve, slices, small_batches, text_key, texts_of, trimmed
 
 #: Links need 100 * intersection >= 80 * union.
 NUM, DEN, WORDS = 80, 100, 5
@@ -356,6 +356,11 @@ def links(rows: DataFrame, whole: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame) -> DataFrame:
     """doc_id, key, n_shingles, component_id, label (null without shingles), and rep_id and rep_key of the
     row that stands for the component. One row per row of ``docs``."""
+    with small_batches(docs.sparkSession):
+        return _near_groups(docs)
+
+
+def _near_groups(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", text_key(F.col("text")).alias("key"), "text")
     buckets = 4 * parts(docs)
     found = texts.mapInArrow(trimmed(_publisher(buckets)), _SENT).repartitionById(buckets, "bucket").mapInArrow(trimmed(_resolve), _RESOLVED)

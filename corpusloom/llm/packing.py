@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, text_key, texts_of
+from .shared import materialize, slices, small_batches, text_key, texts_of, trim, trimmed
 
 CAPACITY, END = 1024, 2
 _PIECES = "doc_id long, key long, copy long, piece int, start long, length long, ids_crc32 long"
 _LANES = 4096
+#: Chunks whose ids a worker keeps (about 17 MB); bytes of the texts that are cut together.
+_CHUNKS, _TEXTS = 1 << 17, 1 << 20
 #: Where white space is doubled, chunks can't be told apart.
 _DOUBLED = ("  ", " \n", "\n ", "\n\n")
 
@@ -99,7 +101,7 @@ class Vocabulary(dict):
     encoded from the ranks, which takes a fraction of the time.
     """
 
-    def __init__(self, path: str, most: int = 1 << 20) -> None:
+    def __init__(self, path: str, most: int = _CHUNKS) -> None:
         import json
 
         from tokenizers import Tokenizer
@@ -147,18 +149,20 @@ def cutter(path: str, capacity: int, end: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, stop = Vocabulary(path), end.to_bytes(4, "little")
+        trim()  # what reading the file took
         for batch in batches:
-            out = []
-            for doc_id, key, copy, text in zip(batch.column("doc_id").to_pylist(), batch.column("key").to_pylist(), batch.column("copy").to_pylist(), texts_of(batch), strict=True):
-                ids = words.ids(text) + stop
-                n, start = len(ids) // 4, 0
-                stops = range((n - 1) % capacity + 1, n + 1, capacity)
-                for piece, to in enumerate(stops):
-                    out.append((doc_id, key, copy, piece, start, to - start, zlib.crc32(ids[4 * start : 4 * to])))
-                    start = to
-            columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            names = ["doc_id", "key", "copy", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+            for part in slices(batch.column("text"), _TEXTS):
+                some, out = batch[part], []
+                for doc_id, key, copy, text in zip(some.column("doc_id").to_pylist(), some.column("key").to_pylist(), some.column("copy").to_pylist(), texts_of(some), strict=True):
+                    ids = words.ids(text) + stop
+                    n, start = len(ids) // 4, 0
+                    stops = range((n - 1) % capacity + 1, n + 1, capacity)
+                    for piece, to in enumerate(stops):
+                        out.append((doc_id, key, copy, piece, start, to - start, zlib.crc32(ids[4 * start : 4 * to])))
+                        start = to
+                columns = list(zip(*out, strict=True))
+                names = ["doc_id", "key", "copy", "piece", "start", "length", "ids_crc32"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "piece" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
     return cut
 
@@ -166,7 +170,7 @@ def cutter(path: str, capacity: int, end: int):
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Pieces of at most ``capacity`` ids; only the first of a longer document may be shorter."""
     rows = docs.select("doc_id", text_key(F.col("text")).alias("key"), F.monotonically_increasing_id().alias("copy"), "text")
-    return rows.mapInArrow(cutter(path, capacity, end), _PIECES)
+    return rows.mapInArrow(trimmed(cutter(path, capacity, end)), _PIECES)
 
 
 def ranked(made: DataFrame, lanes: int = _LANES) -> DataFrame:
@@ -192,7 +196,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, l
     and text are read.
     """
     spark = docs.sparkSession
-    made = materialize(pieces(docs, path, capacity, end), "pieces")
+    with small_batches(spark):
+        made = materialize(pieces(docs, path, capacity, end), "pieces")
     histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     runs = best_fit(histogram, capacity)
     plan = spark.createDataFrame(runs or [(0, 0, 0, 0, 1, 0)], "of long, low long, high long, first long, per long, base long")

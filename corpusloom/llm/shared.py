@@ -7,6 +7,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -19,8 +20,8 @@ from .hashing import in_chunks
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Words of 64 bits in a filter of rows, 4 MB.
-_WORDS = 1 << 19
+#: Words of 64 bits in a filter of rows, 4 MB; bytes of an Arrow batch of texts or sets, which the JVM and Python hold at a time.
+_WORDS, _BATCH = 1 << 19, 1 << 22
 
 _written: dict[str, None] = {}
 
@@ -63,6 +64,20 @@ def _forget() -> None:
 atexit.register(_forget)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within sends rows to Python in Arrow batches of about ``_BATCH`` bytes, a longer row in one of its own; a limit that is set already stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, str(_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again.
 
@@ -166,6 +181,13 @@ def slices(column: pa.Array, most: int) -> Iterator[slice]:
     return in_chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), most)
 
 
+def trim() -> None:
+    """Give this process's free memory back."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        give(0)
+
+
 def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``function``, whose worker gives free memory back when a task ends; idle workers stay beside the JVM for a minute."""
 
@@ -173,9 +195,7 @@ def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
         try:
             yield from function(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
-                trim(0)
+            trim()
 
     return run
 

@@ -2,10 +2,12 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import fingerprints, mixing, packing, warc
 from corpusloom.llm.queries import vocabulary
-from corpusloom.llm.shared import materialize
+from corpusloom.llm.shared import materialize, small_batches
 
 
 def frame(spark, rows, columns="doc_id long, text string, source string, size string, key string, length string"):
@@ -75,6 +77,41 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(frame(spark, []), vocabulary()).count() == 0
 
 
+def test_batches_end_at_their_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "bytes": [b.nbytes]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id", "repeat('x', if(id = 5, 9000000, 2000)) as text")
+    with small_batches(spark):
+        found = docs.mapInArrow(sizes, "rows long, bytes long").collect()
+    assert spark.conf.get(name, None) is None
+    assert sum(r.rows for r in found) == 6000 and sum(r.bytes > 9_000_000 for r in found) == 1
+    assert sorted(r.bytes for r in found)[-2] < 5_000_000
+    spark.conf.set(name, "1000000")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(name) == "1000000"
+        assert spark.conf.get(name) == "1000000"
+    finally:
+        spark.conf.unset(name)
+
+
+def test_cutting_holds_little_beside_the_texts():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{x:06x}" for x in rng.integers(0, 1 << 24, 200)) for _ in range(4000)] + [None, ""]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4002)), "key": [0] * 4002, "copy": [0] * 4002, "text": texts})
+    tracemalloc.start()
+    try:
+        made = [r for out in packing.cutter(vocabulary(), 1024, 2)(iter([batch])) for r in zip(out.column("doc_id").to_pylist(), out.column("piece").to_pylist(), strict=True)]
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert {i for i, _ in made} == set(range(4002)) and len(set(made)) == len(made)
+    assert most < 60_000_000
+
+
 @given(st.text(st.sampled_from(list("ab .,'\n\t é²日 x1")), max_size=30))
 @settings(max_examples=200, deadline=None)
 def test_chunked_ids_are_the_tokenizers(text):
