@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from corpusloom.llm.queries import vocabulary
-from corpusloom.llm.shared import discard, materialize
+from corpusloom.llm.shared import discard, materialize, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the toxicity chain does not predict to be toxic; rows that repeat an id or a text fare alike."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.toxicity(docs, labels, carry=True).filter(F.col("predicted") == 0).select("_row.*")
+    with small_batches(spark):  # they hold while the rows are written; in batches of 10,000 rows a task's texts are held at once
+        return materialize(toxicity.toxicity(docs, labels, carry=True).filter(F.col("predicted") == 0).select("_row.*"), "clean")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +62,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage{k}")
+            docs = docs if hasattr(docs, "_corpusloom_folder") else materialize(docs, f"stage{k}")
             discard(before)
     return docs

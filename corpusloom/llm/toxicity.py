@@ -31,9 +31,9 @@ TOKENS, SHAPES = 1 << 16, 4
 MODULUS, HELD, CUT = 4, 2, 0.3
 SAMPLE, CHARACTERS = 12_000, 64_000_000
 #: Bytes of the texts that are scored together, and tokens whose places a task remembers.
-CHUNK, REMEMBERED = 8_000_000, 1 << 17
+CHUNK, REMEMBERED = 4_000_000, 1 << 17
 #: Tokens of a training chain; cells of a block of chains that are tagged side by side, and the chains below which one goes alone.
-PIECE, CELLS, FEW = 64, 1 << 20, 8
+PIECE, CELLS, FEW = 64, 1 << 18, 8
 #: How far the gain of a tagged type may lie below what the best of all types reaches by chance (chosen on a fold of the training rows).
 LENIENT = 4
 #: Marginals that count in a text's sum.
@@ -311,15 +311,13 @@ def scorer(model: Chain, inside: int | None = None):
         for batch in batches:
             column = batch.column("text") if inside is None else batch.column("_row").field(inside)
             for part in slices(column, CHUNK):  # bounded by bytes, not rows
-                scores: list[float] = []
-                spans: list[list[dict]] = []
                 texts = [x or "" for x in column[part].to_pylist()]
-                p = model.tag([places.of(t.split()) for t in texts])
-                for text, q in zip(texts, p, strict=True):
-                    scores.append(model.score(q))
+                scores, spans = [0.0] * len(texts), [[]] * len(texts)
+                for d, q in model.tagged_blocks([places.of(t.split()) for t in texts]):
+                    scores[d] = model.score(q)
                     hit = set(np.flatnonzero(q >= 0.5).tolist())
-                    found = [m.span() for i, m in enumerate(re.finditer(r"\S+", text)) if i in hit] if hit else []
-                    spans.append([{"start": a, "end": b, "p": float(v)} for (a, b), v in zip(found, q[sorted(hit)], strict=True)])
+                    found = [m.span() for i, m in enumerate(re.finditer(r"\S+", texts[d])) if i in hit] if hit else []
+                    spans[d] = [{"start": a, "end": b, "p": float(v)} for (a, b), v in zip(found, q[sorted(hit)], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id")[part].cast(pa.int64()), batch.column("_row")[part], pa.array(scores, pa.float64()), pa.array(spans, _SPAN)], ["doc_id", "_row", "score", "spans"])
 
     return score

@@ -169,6 +169,50 @@ def test_scoring_holds_little_beside_the_texts():
     assert peak(lambda: list(toxicity.scorer(model)(iter([batch])))) < 12 * size
 
 
+def test_scoring_holds_no_more_for_a_larger_batch():
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{k:04d}" for k in rng.integers(0, 3000, 400)) for _ in range(8000)]
+    model = toxicity.Chain(rng.normal(-6, 1, toxicity.TOKENS * toxicity.SHAPES), weights=np.ones(3))
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8000)), "text": texts, "_row": pa.nulls(8000, pa.int32())})
+    assert peak(lambda: [out.num_rows for out in toxicity.scorer(model)(iter([batch]))]) < 40_000_000
+
+
+def test_blocks_of_any_size_tag_alike(monkeypatch):
+    rng = np.random.default_rng(11)
+    model = toxicity.Chain(rng.normal(-2, 2, toxicity.TOKENS * toxicity.SHAPES), np.array([[0.0, -1.0], [-1.0, 2.0]]))
+    documents = [rng.integers(0, toxicity.TOKENS * toxicity.SHAPES, n) for n in rng.integers(0, 300, 200)]
+    want = model.tag(documents)
+    for cells in (1, 5000, 1 << 22):
+        monkeypatch.setattr(toxicity, "CELLS", cells)
+        assert all(np.array_equal(p, q) for p, q in zip(model.tag(documents), want, strict=True))
+
+
+def test_the_toxicity_stage_scores_small_batches(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    made = toxicity.scorer
+
+    def strict(*of):
+        inner = made(*of)
+
+        def score(batches):
+            def seen():
+                for b in batches:
+                    if b.nbytes > 5_000_000:
+                        raise ValueError(f"a batch of {b.nbytes} bytes")
+                    yield b
+
+            return inner(seen())
+
+        return score
+
+    monkeypatch.setattr(toxicity, "scorer", strict)
+    docs = spark.range(0, 6000, 1, 1).selectExpr("id as doc_id", "concat(id, ' ', repeat('calm ', 400), if(id % 3 = 0, 'vile', '')) as text")
+    spark.range(0, 300).selectExpr("id as doc_id", "cast(id % 3 = 0 as int) as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    left = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path))
+    assert left.columns == ["doc_id", "text"] and {r.doc_id for r in left.select("doc_id").collect()} == {i for i in range(6000) if i % 3}
+
+
 def test_consumed_texts_are_let_go():
     held = ["a", "b"]
     assert next(texts := consumed(held)) == "a" and held == ["", "b"] and list(texts) == ["b"]
