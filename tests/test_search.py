@@ -3,6 +3,7 @@
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
@@ -199,3 +200,29 @@ def test_registry():
     assert isinstance(model, embedders.Embedder) and np.allclose(np.linalg.norm(model.embed_documents(["a b", "", "c"]), axis=1), 1)
     assert [len(x) for x in embedders.batches(["a"] * 5, 2)] == [2, 2, 1]
     assert [len(x) for x in embedders.batches(["a" * 30] * 3 + ["b" * 300], 9, 25)] == [2, 1, 1]
+
+
+def test_dense_blocks_are_bounded_and_equal_vectors_tie(spark, monkeypatch):
+    """A task never scores all queries with a whole batch, and copies of a vector have the same score wherever they lie."""
+    rng = np.random.default_rng(2)
+    v = np.tile(rng.normal(size=(37, 13)).astype(np.float32), (5, 1))
+    rows, asked = [(i, x.tolist()) for i, x in enumerate(v)], [(i, x.tolist()) for i, x in enumerate(v[:70])]
+    vectors = spark.createDataFrame(rows, "row long, embedding array<float>").repartition(3)
+    queries = spark.createDataFrame(asked, "qid long, embedding array<float>")
+    for name, value in (("HELD_FLOATS", 13 * 40), ("BLOCK", 8), ("MANY_QUERIES", 50)):
+        monkeypatch.setattr(dense, name, value)
+    block = dense.InnerProduct.block
+
+    def bounded(ids, asked, rows, held):
+        if len(asked) > 8:
+            raise ValueError("too many queries at a time")
+        return block(ids, asked, rows, held)
+
+    monkeypatch.setattr(dense.InnerProduct, "block", staticmethod(bounded))
+    got = ranked(dense.search(vectors, queries, 7))
+    for q in range(70):
+        s = [reduce(lambda t, p: t + float(p[0]) * float(p[1]), zip(v[q], x, strict=True), 0.0) for x in v]  # sum() compensates
+        assert got[q] == [(r, s[r]) for r in sorted(range(len(v)), key=lambda r: (-s[r], r))[:7]]
+    assert dense.search(vectors, queries.limit(0), 7).count() == 0 and dense.search(vectors.limit(0), queries, 7).count() == 0
+    with pytest.raises(ValueError):
+        dense.search(vectors, spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "qid long, embedding array<float>"), 7)
