@@ -226,3 +226,21 @@ def test_dense_blocks_are_bounded_and_equal_vectors_tie(spark, monkeypatch):
     assert dense.search(vectors, queries.limit(0), 7).count() == 0 and dense.search(vectors.limit(0), queries, 7).count() == 0
     with pytest.raises(ValueError):
         dense.search(vectors, spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "qid long, embedding array<float>"), 7)
+
+
+@pytest.mark.parametrize("n, top", [(400, 3), (400, 20), (15, 20)])
+def test_fused_scores_equal_full_rankings(spark, monkeypatch, n, top):
+    rng = np.random.default_rng(n + top)
+    v = rng.normal(size=(n, 4)).astype(np.float32)
+    v[n // 2 :] = v[: n - n // 2]  # ties
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "row long, embedding array<float>").repartition(3)
+    queries = vectors.filter("row % 5 = 0").withColumnRenamed("row", "qid")
+    monkeypatch.setattr(dense, "HELD_FLOATS", 4 * 60)
+    first = dense.search(vectors, queries)
+    second = lexical.ranking(first.select("qid", "row", (-F.abs(F.col("qid") - F.col("row"))).alias("score")))
+    want = ranked(fusion.rrf([first, second]).filter(F.col("rank") <= top))
+    made = fusion.rrf_of_scores(vectors, queries, [dense.InnerProduct, fusion.NearestId], top, 60 if n < 100 else 5)
+    if n < 100:
+        assert ranked(made) == want
+    else:
+        assert ranked(made) == ranked(fusion.rrf([first, second], 5).filter(F.col("rank") <= top))
