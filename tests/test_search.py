@@ -244,3 +244,19 @@ def test_fused_scores_equal_full_rankings(spark, monkeypatch, n, top):
         assert ranked(made) == want
     else:
         assert ranked(made) == ranked(fusion.rrf([first, second], 5).filter(F.col("rank") <= top))
+
+
+def test_bm25_by_scanning_equals_the_index_without_shuffled_postings(spark, docs, asked, monkeypatch):
+    want = ranked(lexical.search(lexical.build(docs), asked))
+    made = lexical.best(docs.repartition(3), asked)
+    assert {q: [r for r, _ in x] for q, x in ranked(made).items()} == {q: [r for r, _ in x] for q, x in want.items()}
+    for q, x in ranked(made).items():
+        assert np.allclose([s for _, s in x], [s for _, s in want[q]], rtol=1e-12)
+    top = lexical.best(docs.repartition(3), asked, 2)
+    assert {q: [r for r, _ in x] for q, x in ranked(top).items()} == {q: [r for r, _ in x[:2]] for q, x in want.items()}
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Generate" not in plan  # no postings
+    assert lexical.scan(docs.coalesce(1), asked, 1).count() == len(want)  # a task passes on its best only
+    assert lexical.best(docs.limit(0), asked, 2).count() == 0 and lexical.best(docs, asked.limit(0), 2).count() == 0
+    monkeypatch.setattr(lexical, "MANY_TERMS", 1)
+    assert {q: [r for r, _ in x] for q, x in ranked(lexical.best(docs, asked, 2)).items()} == {q: [r for r, _ in x[:2]] for q, x in want.items()}
