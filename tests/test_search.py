@@ -260,3 +260,14 @@ def test_bm25_by_scanning_equals_the_index_without_shuffled_postings(spark, docs
     assert lexical.best(docs.limit(0), asked, 2).count() == 0 and lexical.best(docs, asked.limit(0), 2).count() == 0
     monkeypatch.setattr(lexical, "MANY_TERMS", 1)
     assert {q: [r for r, _ in x] for q, x in ranked(lexical.best(docs, asked, 2)).items()} == {q: [r for r, _ in x[:2]] for q, x in want.items()}
+
+
+def test_hybrid_by_scans_makes_whole_rankings_for_shared_questions_only(spark, docs, asked, monkeypatch):
+    vectors = embedders.embed(docs, "hashing", {"dim": 16}).select("row", "embedding")
+    embedded = embedders.embed(asked.filter("qid in (0, 2)").unionByName(spark.createDataFrame([(9, "dog mat")], "qid long, text string")), "hashing", {"dim": 16})
+    deep, search = [], dense.search
+    monkeypatch.setattr(dense, "search", lambda v, q, top=None: (deep.extend(r["qid"] for r in q.collect()) if top is None else None, search(v, q, top))[1])
+    got = ranked(fusion.hybrid_by_scans(docs, asked, vectors, embedded, 3))
+    assert sorted(deep) == [0, 2]
+    want = ranked(fusion.rrf([search(vectors, embedded), lexical.search(lexical.build(docs), asked)]).filter("rank <= 3"))
+    assert got == want and 9 in got and 1 in got
