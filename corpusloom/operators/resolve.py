@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -13,70 +13,84 @@ MANY_NEEDLES = 10_000
 
 
 def normalised(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``norm``, the text quotes are looked for in, and how many chunks share it."""
-    rows = chunks.withColumn("norm", tx.collapse(F.col("text")))
-    same = rows.groupBy(F.sha2("norm", 256).alias("_h")).agg(F.count("*").alias("duplicate_text_count"))
-    return rows.withColumn("_h", F.sha2("norm", 256)).join(same, "_h").drop("_h")
+    """Chunks with ``norm``, the text quotes are looked for in."""
+    return chunks.withColumn("norm", tx.collapse(F.col("text")))
 
 
 def any_scope(value: Column) -> Column:
     return F.coalesce(F.upper(F.trim(value)) == "ANY", F.lit(False))
 
 
-def containing(needles: DataFrame, chunks: DataFrame) -> DataFrame:
-    """needle and row of each chunk (row, norm) that holds it, whatever its scope.
+def containing(needles: DataFrame, chunks: DataFrame, keep: tuple[str, ...] = ("row",)) -> DataFrame:
+    """needle and ``keep`` of each chunk (row, norm, ...) that holds it, whatever its scope.
 
-    A few needles are broadcast against the one scan of the chunks. Beyond that,
-    an inner word of a needle - complete in any text that holds it - is an equi
-    key, and only needles of one or two words are scanned for.
+    An inner word of a needle - complete in any text that holds it - is an equi
+    key, and only needles of one or two words are scanned for. A few needles are
+    broadcast, and of a text's words only their keys leave the one scan.
     """
-    distinct = needles.select("needle").distinct()
-    if distinct.limit(MANY_NEEDLES + 1).count() <= MANY_NEEDLES:
-        return chunks.join(F.broadcast(distinct), F.contains("norm", "needle")).select("needle", "row")
+    distinct, made = needles.select("needle").distinct(), ["needle", *keep]
+    columns = list(dict.fromkeys([*keep, "norm"]))
+    few = [r["needle"] for r in distinct.limit(MANY_NEEDLES + 1).collect()]
+    if len(few) <= MANY_NEEDLES:
+        key = {n: max(n.split(" ")[1:-1], key=len, default=None) for n in few}
+        shape = "needle string, word string"
+        of = lambda found: F.broadcast(needles.sparkSession.createDataFrame(found, shape))
+        long_, short = ([(n, w) for n, w in key.items() if (w is None) == bare] for bare in (False, True))
+        wanted = sorted({w for _, w in long_})
+        held = chunks.select(*columns, F.explode(F.filter(F.array_distinct(F.split("norm", " ")), lambda w: w.isin(wanted))).alias("word"))
+        rows = held.join(of(long_), "word").filter(F.contains("norm", "needle")).select(*made)
+        return rows.unionByName(chunks.join(of(short), F.contains("norm", "needle")).select(*made)) if short else rows
     words = F.split("needle", " ")
     inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
     longest = F.element_at(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
     keyed = distinct.withColumn("word", F.when(F.size(words) > 2, longest))
-    held = chunks.select("row", "norm", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    long_ = held.join(keyed.filter("word is not null"), "word").filter(F.contains("norm", "needle")).select("needle", "row")
-    short = chunks.join(keyed.filter("word is null").select("needle"), F.contains("norm", "needle")).select("needle", "row")
+    held = chunks.select(*columns, F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
+    long_ = held.join(keyed.filter("word is not null"), "word").filter(F.contains("norm", "needle")).select(*made)
+    short = chunks.join(keyed.filter("word is null").select("needle"), F.contains("norm", "needle")).select(*made)
     return long_.unionByName(short)
 
 
-def resolve(truths: DataFrame, chunks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """One row per truth (qid, member, ticker, accession, document, quote): status, chunks, spread.
-
-    ``chunks``: row, chunk_id, ticker, accession, document, section, text, norm
-    and duplicate_text_count, as :func:`normalised` gives them. Scoped truths
-    meet the chunks of their accession; those of any accession are planned apart.
-    """
-    t = truths.withColumns({
+def asked(truths: DataFrame) -> DataFrame:
+    """Truths with the needle of their quote and what their scope leaves open."""
+    return truths.withColumns({
         "needle": F.when(F.coalesce("quote", F.lit("")) != "", tx.collapse(F.col("quote"))),
         "any": any_scope(F.col("accession")),
         "any_document": F.col("document").isNull() | any_scope(F.col("document")),
     })
-    asked = t.filter("needle is not null")
-    spread = containing(asked, chunks.select("row", "norm"))
-    where = chunks.select("row", F.col("accession").alias("found_in"))
-    spread_n = spread.join(where, "row").groupBy("needle").agg(F.count("*").alias("corpus_chunks"), F.countDistinct("found_in").alias("corpus_accessions"))
-    body = ["row", "chunk_id", "accession", "document", "section", "norm", "duplicate_text_count", "ticker"]
-    c = chunks.select(*[F.col(x).alias(f"c_{x}") for x in body])
-    scope = asked.filter(~F.col("any")).join(c, F.col("accession") == F.col("c_accession"))
-    scope = scope.filter(F.col("any_document") | (F.col("document") == F.col("c_document"))).filter(F.contains("c_norm", "needle"))
-    wide = asked.filter("any").join(spread.withColumnsRenamed({"needle": "n2"}), F.col("needle") == F.col("n2")).drop("n2")
-    wide = wide.join(c, F.col("row") == F.col("c_row")).drop("row")
-    found = scope.unionByName(wide).groupBy("qid", "member").agg(
-        F.array_sort(F.collect_list("c_row")).alias("rows"),
-        F.transform(F.array_sort(F.collect_list(F.struct("c_row", "c_chunk_id"))), lambda x: x["c_chunk_id"]).alias("chunk_ids"),
-        F.array_sort(F.collect_set(F.coalesce("c_section", F.lit("None")))).alias("sections"),
-        F.max("c_duplicate_text_count").alias("duplicate_text_count"),
-        F.countDistinct("c_accession").alias("distinct_accessions"),
-        F.countDistinct("c_norm").alias("distinct_texts"),
-        F.array_sort(F.collect_set("c_ticker")).alias("distinct_tickers"),
-    )
+
+
+def resolve(truths: DataFrame, chunks: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """One row per truth (qid, member, ticker, accession, document, quote): status, chunks, spread.
+
+    ``chunks``: row, chunk_id, ticker, accession, document, section, text and
+    norm, as :func:`normalised` gives them. One scan finds the chunks that hold
+    a needle, whatever its scope; chunks with one text hold the same needles, so
+    the rest is counted among them.
+    """
+    t = asked(truths)
+    body = ["row", "chunk_id", "accession", "document", "section", "ticker"]
+    c = chunks.select("norm", *[F.col(x).alias(f"c_{x}") for x in body])
+    held = containing(t.filter("needle is not null"), c, (*[f"c_{x}" for x in body], "norm"))
+    held = held.withColumn("c_text", F.sha2("norm", 256)).drop("norm").withColumn("c_duplicates", F.count("*").over(Window.partitionBy("needle", "c_text")))
+    inside = F.col("any") | (F.col("accession") == F.col("c_accession")) & (F.col("any_document") | (F.col("document") == F.col("c_document")))
+    of = lambda x: F.when(F.col("inside"), x)
+    several = lambda x: F.size(F.collect_set(x)).cast("long")
+    found = t.select("qid", "member", "needle", "accession", "document", "any", "any_document").join(held, "needle").withColumn("inside", F.coalesce(inside, F.lit(False)))
+    found = found.groupBy("qid", "member").agg(
+        F.array_sort(F.collect_list(of(F.col("c_row")))).alias("rows"),
+        F.transform(F.array_sort(F.collect_list(of(F.struct("c_row", "c_chunk_id")))), lambda x: x["c_chunk_id"]).alias("chunk_ids"),
+        F.array_sort(F.collect_set(of(F.coalesce("c_section", F.lit("None"))))).alias("sections"),
+        F.max(of(F.col("c_duplicates"))).alias("duplicate_text_count"),
+        several(of(F.col("c_accession"))).alias("distinct_accessions"),
+        several(of(F.col("c_text"))).alias("distinct_texts"),
+        F.array_sort(F.collect_set(of(F.col("c_ticker")))).alias("distinct_tickers"),
+        F.count("*").alias("corpus_chunks"), several(F.col("c_accession")).alias("corpus_accessions"),
+        F.max("inside").alias("met"),
+    ).filter("met").drop("met")
     indexed = chunks.select(F.col("accession").alias("i_accession")).distinct()
-    documents = chunks.select(F.col("accession").alias("d_accession"), F.col("document").alias("d_document")).distinct()
-    rows = t.join(found, ["qid", "member"], "left").join(spread_n, "needle", "left")
+    named = t.filter("not any and not any_document").select(F.col("accession").alias("d_accession"), F.col("document").alias("d_document"))
+    documents = chunks.select(F.col("accession").alias("d_accession"), F.col("document").alias("d_document")).join(named, ["d_accession", "d_document"], "left_semi").distinct()
+    rows = t.join(found, ["qid", "member"], "left")
     rows = rows.join(indexed, F.col("accession") == F.col("i_accession"), "left")
     rows = rows.join(documents, (F.col("accession") == F.col("d_accession")) & (F.col("document") == F.col("d_document")), "left")
     n = F.coalesce(F.size("rows"), F.lit(0))

@@ -271,3 +271,16 @@ def test_hybrid_by_scans_makes_whole_rankings_for_shared_questions_only(spark, d
     assert sorted(deep) == [0, 2]
     want = ranked(fusion.rrf([search(vectors, embedded), lexical.search(lexical.build(docs), asked)]).filter("rank <= 3"))
     assert got == want and 9 in got and 1 in got
+
+
+def test_resolution_reads_the_texts_once(spark, tmp_path):
+    rows = [(r, f"c{r}", "T", a, d, s, t) for r, a, d, s, t in CHUNKS]
+    spark.createDataFrame(rows, "row long, chunk_id string, ticker string, accession string, document string, section string, text string").write.parquet(str(tmp_path / "c"))
+    chunks = resolve.normalised(spark.read.parquet(str(tmp_path / "c")))
+    quotes = [("a", 0, "T", "ANY", None, "quick brown fox jumps"), ("b", 0, "T", "A3", None, "fox quick brown"), ("c", 0, "T", "ANY", None, "none of these")]
+    truths = spark.createDataFrame(quotes, "qid string, member int, ticker string, accession string, document string, quote string")
+    made = resolve.resolve(truths, chunks)
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text#") == 1
+    got = {r["qid"]: r for r in made.collect()}
+    assert got["a"]["rows"] == [0, 1] and got["a"]["duplicate_text_count"] == 2 and got["a"]["distinct_texts"] == 1 and got["a"]["corpus_accessions"] == 1
+    assert got["b"]["rows"] == [3] and got["b"]["status"] == "ok" and got["b"]["corpus_chunks"] == 1 and got["c"]["status"] == "quote_absent"
