@@ -15,24 +15,24 @@ def _within(rank: Column, k: int) -> Column:
     return F.coalesce(rank <= k, F.lit(False))
 
 
-def first_ranks(hits: DataFrame, targets: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """qid, member and the best rank of its targets (qid, member, key); absent when none was hit."""
-    return hits.select("qid", key, "rank").join(targets.select("qid", "member", key).distinct(), ["qid", key]).groupBy("qid", "member").agg(F.min("rank").alias("rank"))
+def _listed(hits: DataFrame, *names: str) -> DataFrame:
+    """Each question's hits in one row, which any number of targets can be held against."""
+    return hits.groupBy("qid").agg(F.collect_list(F.struct("rank", *names)).alias("_hits"))
 
 
-def targets(resolutions: DataFrame) -> DataFrame:
-    return resolutions.select("qid", "member", "accession", "document", F.explode("chunk_ids").alias("chunk_id"))
+def _best(hit) -> Column:
+    """The best rank of the hits that ``hit`` is true of."""
+    return F.array_min(F.transform(F.filter("_hits", hit), lambda h: h["rank"]))
 
 
 def single_fact(hits: DataFrame, resolutions: DataFrame, at: tuple[int, ...] = AT) -> DataFrame:
-    """qid, rank, recall_at_k, top1_correct, citation_correct and target_chunks."""
-    goal = targets(resolutions)
-    ranks = first_ranks(hits, goal.withColumn("member", F.lit(0))).select("qid", "rank")
-    count = goal.groupBy("qid").agg(F.countDistinct("chunk_id").alias("target_chunks"))
-    top = hits.filter("rank = 1").select("qid", F.col("accession").alias("ta"), F.col("document").alias("td"))
-    cited = top.join(resolutions.select("qid", "accession", "document"), "qid")
-    cited = cited.groupBy("qid").agg(F.max((F.col("ta") == F.col("accession")) & F.col("td").eqNullSafe(F.col("document"))).alias("citation_correct"))
-    rows = resolutions.select("qid").distinct().join(ranks, "qid", "left").join(count, "qid", "left").join(cited, "qid", "left")
+    """qid, rank, recall_at_k, top1_correct, citation_correct and target_chunks; hits and resolutions are read once."""
+    rows = resolutions.select("qid", "accession", "document", "chunk_ids").join(_listed(hits, "chunk_id", "accession", "document"), "qid", "left")
+    cited = F.exists("_hits", lambda h: (h["rank"] == 1) & (h["accession"] == F.col("accession")) & h["document"].eqNullSafe(F.col("document")))
+    rows = rows.groupBy("qid").agg(
+        F.min(_best(lambda h: F.array_contains(F.col("chunk_ids"), h["chunk_id"]))).alias("rank"), F.max(cited).alias("citation_correct"),
+        F.size(F.array_compact(F.array_distinct(F.flatten(F.collect_list("chunk_ids"))))).cast("long").alias("target_chunks"),
+    )
     recall = [_within(F.col("rank"), k).alias(f"recall_at_{k}") for k in at]
     return rows.select("qid", "rank", *recall, _within(F.col("rank"), 1).alias("top1_correct"), F.coalesce("citation_correct", F.lit(False)).alias("citation_correct"), F.coalesce("target_chunks", F.lit(0)).alias("target_chunks"))
 
@@ -41,12 +41,15 @@ def coverage(hits: DataFrame, resolutions: DataFrame, by_accession: bool, at: tu
     """Per question: whether every member was covered within k, and how many were.
 
     A member is covered by any chunk of its accession, or by one of its targets.
+    Hits and resolutions are read once.
     """
-    goal = resolutions.select("qid", "member", "accession") if by_accession else targets(resolutions)
-    ranks = first_ranks(hits, goal, "accession" if by_accession else "chunk_id")
-    rows = resolutions.select("qid", "member").join(ranks, ["qid", "member"], "left").groupBy("qid")
-    made = [f for k in at for f in (F.bool_and(_within(F.col("rank"), k)).alias(f"recall_at_{k}"), F.count_if(_within(F.col("rank"), k)).alias(f"covered_at_{k}"))]
-    return rows.agg(*made, F.count("*").alias("members_total"))
+    key = "accession" if by_accession else "chunk_id"
+    rows = resolutions.select("qid", "member", "accession" if by_accession else "chunk_ids").join(_listed(hits, key), "qid", "left")
+    meets = (lambda h: h[key] == F.col(key)) if by_accession else (lambda h: F.array_contains(F.col("chunk_ids"), h[key]))
+    rows = rows.groupBy("qid", "member").agg(F.min(_best(meets)).alias("rank"), F.count("*").alias("times")).groupBy("qid")
+    covered = lambda k: F.coalesce(F.sum(F.when(_within(F.col("rank"), k), F.col("times"))), F.lit(0))
+    made = [f for k in at for f in (F.bool_and(_within(F.col("rank"), k)).alias(f"recall_at_{k}"), covered(k).cast("long").alias(f"covered_at_{k}"))]
+    return rows.agg(*made, F.sum("times").alias("members_total"))
 
 
 def target_recall(hits: DataFrame, resolutions: DataFrame, at: tuple[int, ...] = AT) -> DataFrame:

@@ -280,7 +280,23 @@ def test_resolution_reads_the_texts_once(spark, tmp_path):
     quotes = [("a", 0, "T", "ANY", None, "quick brown fox jumps"), ("b", 0, "T", "A3", None, "fox quick brown"), ("c", 0, "T", "ANY", None, "none of these")]
     truths = spark.createDataFrame(quotes, "qid string, member int, ticker string, accession string, document string, quote string")
     made = resolve.resolve(truths, chunks)
-    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text#") == 1
+    leaves = made._jdf.queryExecution().sparkPlan().collectLeaves()  # with the columns that are read
+    assert sum("text#" in leaves.apply(i).output().toString() for i in range(leaves.size())) == 1
     got = {r["qid"]: r for r in made.collect()}
     assert got["a"]["rows"] == [0, 1] and got["a"]["duplicate_text_count"] == 2 and got["a"]["distinct_texts"] == 1 and got["a"]["corpus_accessions"] == 1
     assert got["b"]["rows"] == [3] and got["b"]["status"] == "ok" and got["b"]["corpus_chunks"] == 1 and got["c"]["status"] == "quote_absent"
+
+
+def test_scores_read_hits_and_resolutions_once(spark, tmp_path):
+    spark.createDataFrame([("a", 1, 0, "c0", "A1", "d1"), ("a", 2, 1, "c1", "A2", None), ("b", 1, 2, "c2", "A3", "d")], "qid string, rank int, row long, chunk_id string, accession string, document string").write.parquet(str(tmp_path / "h"))
+    goals = [("a", 0, "A2", None, ["c1", "c9"]), ("a", 1, "A1", "d1", ["c9"]), ("b", 0, "A9", "d", ["c7"]), ("n", 0, "A1", None, ["c0"])]
+    spark.createDataFrame(goals, "qid string, member int, accession string, document string, chunk_ids array<string>").write.parquet(str(tmp_path / "r"))
+    hits, res = (spark.read.parquet(str(tmp_path / n)) for n in "hr")
+    one, far, near = score.single_fact(hits, res, (1, 5)), score.coverage(hits, res, False, (1, 5)), score.coverage(hits, res, True, (1, 5))
+    for made in (one, far, near):
+        assert made._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2
+    got = {r["qid"]: r for r in one.collect()}
+    assert got["a"]["rank"] == 2 and got["a"]["target_chunks"] == 2 and got["a"]["citation_correct"] and not got["a"]["recall_at_1"]
+    assert got["b"]["rank"] is None and not got["b"]["citation_correct"] and got["n"]["rank"] is None and got["n"]["target_chunks"] == 1
+    assert {r["qid"]: (r["covered_at_5"], r["members_total"], r["recall_at_5"]) for r in far.collect()} == {"a": (1, 2, False), "b": (0, 1, False), "n": (0, 1, False)}
+    assert {r["qid"]: (r["covered_at_5"], r["members_total"], r["recall_at_5"]) for r in near.collect()} == {"a": (2, 2, True), "b": (0, 1, False), "n": (0, 1, False)}
