@@ -109,6 +109,12 @@ def resolve(truths: DataFrame, chunks: DataFrame, threshold: int = THRESHOLD) ->
     return rows.select(*[c for c in truths.columns], "needle", status.alias("status"), n.alias("match_count"), *keep, *spread_cols)
 
 
+def holders(truths: DataFrame, chunks: DataFrame) -> DataFrame:
+    """qid and accession of every accession that holds a question's quote, whatever the truth's scope."""
+    t = asked(truths).filter("needle is not null").select("qid", "needle")
+    return t.join(containing(t, chunks, ("accession",)), "needle").select("qid", "accession").distinct()
+
+
 def resolved(status: Column) -> Column:
     return status.isin("ok", "too_generic", "dedup_measured")
 
